@@ -11,6 +11,7 @@ from recollect.llm.neighbours import nearest
 from recollect.llm.packing import pack, token_counts
 from recollect.llm.pii import pii_items, redacted
 from recollect.llm.splitting import pieces
+from recollect.llm.subjects import subject_areas
 from recollect.sources.tables import table, user_key
 
 SIMILAR = 0.85
@@ -81,9 +82,27 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", rows).select("doc_id", "item_id")
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    names = [r["subject"] for r in table(spark, d, "subjects").select("subject").where("subject is not null").orderBy("subject").collect()]
+    labels = table(spark, d, "doc_labels").select(F.col("doc_id").alias("id"), "subject")
+    return subject_areas(table(spark, d, "documents"), "doc_id", "text", labels, names).withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Of each subject, the documents and the share of the corpus' documents."""
+    n = table(spark, d, "documents").count()
+    found = _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg("share"), 4).alias("mean_share"))
+    return found.select("subject", "n_documents", F.round(F.col("n_documents") / max(n, 1), 4).alias("of_corpus"), "mean_share")
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
     "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_contexts": p8_contexts, "p9_found": p9_found,
+    "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
 _USABLE = """
