@@ -187,6 +187,8 @@ def leaked_items(docs: DataFrame, id_col: str, text_col: str, items: list[tuple[
     items = [(i, t) for i, t in items if t]
     if sum(len(t) for _, t in items) > MAX_INDEX_CHARS:
         raise ValueError("the items are too large for one index; search them in several parts")
+    if not items:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, words int")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32())])
     source = docs.sparkSession.sparkContext.broadcast(items)
     kept: dict[str, Index] = {}

@@ -40,7 +40,7 @@ def fold_batch(texts: list[str | None], strip: bool = True) -> tuple[np.ndarray,
     parts = [strip_layout(t) if strip else t for t in (t or "" for t in texts)]
     joined = "\n".join(parts) + "\n"
     raw = np.frombuffer(joined.encode("utf-32-le" if sys.byteorder == "little" else "utf-32-be", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(p) + 1 for p in parts])
+    ends = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
     c = _table()[np.where(raw < 0x20000, raw, SPACE)]
     keep = c != 0
     prev = np.empty(len(c), np.uint32)
@@ -50,7 +50,7 @@ def fold_batch(texts: list[str | None], strip: bool = True) -> tuple[np.ndarray,
     prev = np.concatenate([[SPACE], v[:-1]])
     keep[seen[(v != SPACE) | (prev != SPACE)]] = True
     pos = np.concatenate([[0], np.cumsum(keep)])
-    return c[keep], pos[np.concatenate([[0], ends])]
+    return c[keep], pos[np.concatenate([[0], ends])] if parts else pos[:1]
 
 
 def words_of(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
