@@ -19,7 +19,8 @@ def count_tokens(c: Column, least: int | None = None) -> Column:
     """Octets div 4: at least 1 if not empty, 0 if empty; ``least`` = 1 makes the empty text 1 too; null stays null."""
     n = F.octet_length(c)
     size = F.floor(n / 4).cast("int")
-    return F.greatest(F.lit(1), size) if least else F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), size))
+    sized = F.when(n.isNotNull(), F.greatest(F.lit(1), size))
+    return sized if least else F.when(n == 0, 0).otherwise(sized)
 
 
 def fields(c: Column) -> Column:

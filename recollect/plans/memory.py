@@ -631,8 +631,8 @@ s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n_events FROM s GROUP BY user_id, n""")
 def op92(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    # a gap of exactly 15 minutes joins, so the native window, whose end is exclusive, is a microsecond longer
-    s = e.groupBy("user_id", F.session_window("ts", "900 seconds 1 microseconds").alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
+    # the native window joins a gap of exactly 15 minutes
+    s = e.groupBy("user_id", F.session_window("ts", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
     return s.select("user_id", F.date_format("w.start", SECOND).alias("session_start"), "n_events")
 
 

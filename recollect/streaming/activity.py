@@ -51,7 +51,7 @@ def triggers(events: DataFrame, idle_minutes: int = 15, most: int = 10, hold_min
 def session_windows(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Sessions of a stream (user_id, ts) by gaps of more than 15 minutes, with late events up to ``late``."""
     src = events.withWatermark("ts", late)
-    s = src.groupBy("user_id", F.session_window("ts", "900 seconds 1 microseconds").alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("session_end"))
+    s = src.groupBy("user_id", F.session_window("ts", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("session_end"))
     return s.select("user_id", F.col("w.start").alias("session_start"), "session_end", "n_events")
 
 
