@@ -2,8 +2,8 @@
 
 A cluster feature (CF) holds the number and the sum of unit vectors. It gives the mean similarity of all pairs,
 (|sum|^2 - n) / (n (n - 1)), so features are merged without their members. Each task builds a CF tree of its rows; the
-leaf features of a large group's tasks are united in a tree of reductions; Ward agglomeration joins leaves while
-the mean similarity stays at the limit; then all rows are assigned to the nearest centroid in one pass.
+leaf features of a large group's tasks are united, again by CF trees, in lists around coarse centroids; Ward
+agglomeration joins leaves while the mean similarity stays at the limit; then all rows are assigned to the nearest centroid in one pass.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.neighbours import usable
+from recollect.llm.neighbours import MAX_LISTS, TRAIN_ROWS, _train, usable
 
 GROUP_ROWS = 65_536
 MAX_LEAVES = 131_072
@@ -122,8 +122,9 @@ def ward(x: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
     near: dict[int, set[int]] = {}
     heap = []
     unit = (centre / np.linalg.norm(centre, axis=1, keepdims=True).clip(1e-12)).astype(np.float32)
-    for lo in range(0, size, TILE):
-        i, j = np.nonzero(unit[lo : lo + TILE] @ unit[lo:].T >= least - 0.05)
+    tile = _tile(size)
+    for lo in range(0, size, tile):
+        i, j = np.nonzero(unit[lo : lo + tile] @ unit[lo:].T >= least - 0.05)
         for a, b in zip((i + lo).tolist(), (j + lo).tolist()):
             if a < b:
                 near.setdefault(a, set()).add(b)
@@ -154,18 +155,24 @@ def ward(x: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
     return parent
 
 
+def _tile(columns: int) -> int:
+    """Rows of a block of products with so many columns that it stays small."""
+    return max(16, min(TILE, (1 << 25) // max(columns, 1)))
+
+
 def _cost(x: np.ndarray, n: np.ndarray, a: int, b: int) -> float:
     d = x[a] / n[a] - x[b] / n[b]
     return float(n[a] * n[b] / (n[a] + n[b]) * (d @ d))
 
 
-def centroids(x: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sums and sizes of the clusters of features."""
+def centroids(x: np.ndarray, n: np.ndarray, least: float, smallest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sizes of the clusters of features, of those with at least ``smallest`` rows."""
     label = ward(x, n, least)
     keep, at = np.unique(label, return_inverse=True)
     total = np.zeros((len(keep), x.shape[1]))
     np.add.at(total, at, x)
-    return total, np.bincount(at, n, len(keep))
+    size = np.bincount(at, n, len(keep))
+    return total[size >= smallest], size[size >= smallest]
 
 
 def assign(x: np.ndarray, total: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -175,31 +182,35 @@ def assign(x: np.ndarray, total: np.ndarray, least: float) -> tuple[np.ndarray,
     unit = (total / norm[:, None]).astype(np.float32)
     label, sim = np.full(len(x), -1), np.zeros(len(x))
     x32 = x.astype(np.float32)
-    for lo in range(0, len(x), TILE):
-        s = x32[lo : lo + TILE] @ unit.T
-        label[lo : lo + TILE] = best = s.argmax(1)
-        sim[lo : lo + TILE] = s[np.arange(len(best)), best]
+    if not len(total):
+        return label, sim
+    tile = _tile(len(total))
+    for lo in range(0, len(x), tile):
+        s = x32[lo : lo + tile] @ unit.T
+        label[lo : lo + tile] = best = s.argmax(1)
+        sim[lo : lo + tile] = s[np.arange(len(best)), best]
     label[sim < least - 0.05] = -1
     return label, sim
 
 
 def mutual(x: np.ndarray, least: float) -> np.ndarray:
-    """Splits rows so that any two of a part have similarity ``least`` or more: one part if they have already, else by
-    complete linkage (the most similar parts whose least similar pair allows it are joined first)."""
-    n = len(x)
-    if n > 1 and all((x[lo : lo + TILE] @ x.T).min() >= least - 1e-9 for lo in range(0, n, TILE)):
-        return np.zeros(n, int)
-    s = np.clip(x @ x.T, -1, 1)
-    np.fill_diagonal(s, -2)
-    label = np.arange(n)
-    while n > 1:
-        a, b = np.unravel_index(s.argmax(), s.shape)
-        if s[a, b] < least - 1e-9:
-            break
-        s[a] = s[:, a] = np.minimum(s[a], s[b])
-        s[a, a] = -2
-        s[b] = s[:, b] = -2
-        label[label == label[b]] = label[a]
+    """Splits rows so that any two of a part have similarity ``least`` or more: one part if they have already; else the row
+    in most pairs below it leaves (of equals the last) until none remains, and those that left are split in turn."""
+    label, todo, part = np.zeros(len(x), int), np.arange(len(x)), 0
+    limit = least - 1e-9
+    while len(todo):
+        y = x[todo]
+        below = np.concatenate([(y[lo : lo + TILE] @ y.T < limit).sum(1) for lo in range(0, len(y), TILE)])
+        stays = np.ones(len(y), bool)
+        while True:
+            worst = len(y) - 1 - int(np.where(stays, below, -1)[::-1].argmax())
+            if below[worst] <= 0 or not stays[worst]:
+                break
+            stays[worst] = False
+            below -= y @ y[worst] < limit
+        label[todo[stays]] = part
+        part += 1
+        todo = todo[~stays]
     return label
 
 
@@ -210,7 +221,7 @@ def _members(ids: np.ndarray, x: np.ndarray, label: np.ndarray, least: float, sm
     for rows in np.split(order, cut):
         if len(rows) < smallest or label[rows[0]] < 0:
             continue
-        once, _, back = _distinct(x[rows]) if len(rows) > TILE else (x[rows], None, slice(None))
+        once, _, back = _distinct(x[rows]) if len(rows) > 64 else (x[rows], None, slice(None))
         parts = mutual(once, least)[back]
         for p in np.unique(parts):
             own = rows[parts == p]
@@ -273,7 +284,7 @@ def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, lea
         if len(ids) < smallest:
             return _table(None, [])
         once, n, back = _distinct(x)
-        total, _ = centroids(*leaves(once * n[:, None], n, least), least)
+        total, _ = centroids(*leaves(once * n[:, None], n, least), least, smallest)
         label, _ = assign(once, total, least)
         return _table(table["_user"][0].as_py(), _members(ids, x, label[back], least, smallest))
 
@@ -313,11 +324,27 @@ def _large(big: DataFrame, least: float, smallest: int, dim: int, group_rows: in
         return pack(table, *leaves(*features(table), least))
 
     def finish(table: pa.Table) -> pa.Table:
-        return pack(table, *centroids(*features(table), least))
+        """The clusters of one list's leaves; a list keeps those whose centroid is at home in it."""
+        total, n = centroids(*features(table), least, smallest)
+        home = (total @ coarse.T).argmax(1) == table["_part"][0].as_py() if table.num_rows else np.zeros(0, bool)
+        return pack(table, total[home], n[home])
+
+    def route(batches):
+        for b in batches:
+            x = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            sim = (x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-12)) @ coarse.T
+            i, c = np.nonzero(sim >= sim.max(1, keepdims=True) - margin) if len(x) else (np.zeros(0, int),) * 2
+            part = b.take(pa.array(i))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.astype(np.int32)), *part.columns[2:]], schema=feature)
 
     level = big.select("_user", "_id", "_v", "_part", "_parts").groupBy("_user", "_part").applyInArrow(build, shape)
-    level = level.withColumn("_part", (F.col("_part") / 8).cast("int")).groupBy("_user", "_part").applyInArrow(unite, shape)
-    centre = level.groupBy("_user").applyInArrow(finish, shape)
+    # near leaves of different tasks are united in lists around coarse centroids, each leaf in all lists within reach
+    most = big.agg(F.max("_n")).first()[0]
+    sample = big.sample(min(1.0, 1.2 * TRAIN_ROWS / most), 11).limit(TRAIN_ROWS).select("_v").toArrow()
+    coarse = _train(usable(sample["_v"], dim)[1], min(MAX_LISTS, max(2, -(-2 * most // group_rows)))) if sample.num_rows else np.eye(dim)[:1]
+    margin = 3.2 * np.sqrt(2 * (2 - 2 * least) / dim)
+    lists = level.mapInArrow(route, shape).groupBy("_user", "_part").applyInArrow(unite, shape)
+    centre = lists.groupBy("_user", "_part").applyInArrow(finish, shape)
     spread = centre.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     labelled = pa.schema([("_user", pa.string()), ("_id", pa.string()), ("_v", pa.list_(pa.float32())), ("_label", pa.int32())])
 
