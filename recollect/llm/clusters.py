@@ -1,9 +1,9 @@
 """Clusters of mutually similar vectors: cluster-feature trees, Ward agglomeration of their leaves, one assignment pass.
 
-A cluster feature (CF) holds the number and the sum of unit vectors. It gives the mean similarity of all pairs,
-(|sum|^2 - n) / (n (n - 1)), so features are merged without their members. Each task builds a CF tree of its rows; the
+A cluster feature (CF) holds the number and the sum of unit vectors. Two of them give the mean similarity of all pairs between
+them, (sum . sum) / (n n), so features are merged without their members. Each task builds a CF tree of its rows; the
 leaf features of a large group's tasks are united, again by CF trees, in lists around coarse centroids; Ward
-agglomeration joins leaves while the mean similarity stays at the limit; then all rows are assigned to the nearest centroid in one pass.
+agglomeration joins leaves where the mean similarity between them reaches the limit; then all rows are assigned to the nearest centroid in one pass.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def leaves(x: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, np.n
 
 
 def ward(x: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
-    """Agglomerates features in order of Ward's cost while the mean similarity of the union's pairs is ``least`` or more;
+    """Agglomerates features in order of Ward's cost where the mean similarity of the pairs between them is ``least`` or more;
     returns the cluster of each feature."""
     size = len(n)
     parent = np.arange(size)
@@ -137,10 +137,9 @@ def ward(x: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
         _, a, b, total = heapq.heappop(heap)
         if not (alive[a] and alive[b]) or total != n[a] + n[b]:
             continue
-        s, k = x[a] + x[b], n[a] + n[b]
-        if (s @ s - k) / (k * (k - 1)) < least:
+        if x[a] @ x[b] < least * n[a] * n[b]:
             continue
-        x[a], n[a] = s, k
+        x[a], n[a] = x[a] + x[b], n[a] + n[b]
         alive[b] = False
         parent[b] = a
         others = (near.pop(a, set()) | near.pop(b, set())) - {a, b}

@@ -72,10 +72,10 @@ def build_index(items: list[tuple[int, str]], min_words: int = MIN_WORDS) -> Ind
     least, window = np.full(len(items), 1 << 30), 0
     for i in range(len(items)):
         b = np.append(begin[first[i] : first[i + 1]], starts[i + 1])
-        for n in (min_words, -(-min_words // 10) * 10):
+        for n in (min_words, -(-min_words // 10) * 10 - 1):
             if len(b) > n:
                 size = np.sort(np.lib.stride_tricks.sliding_window_view(np.diff(b), n), axis=1)
-                lost = max(1, n // 10)
+                lost = max(1, (n + 1) // 10)
                 least[i] = min(least[i], (size.sum(1) + 1 - Q - (size[:, -lost:] + Q).sum(1)).min())
                 window = max(window, int(size.sum(1).max()))
     least = np.maximum(least, 8)
@@ -170,7 +170,7 @@ def longest_run(doc: np.ndarray, item: np.ndarray, width: int = 12) -> int:
                 chain = (m + n, edits, b0)
         chains.append((a + n, b + n, chain))
         span = b + n - chain[2]
-        if chain[1] <= max(1, span // 10):
+        if chain[1] <= max(1, (span + 1) // 10):
             best = max(best, span)
     return best
 

@@ -172,7 +172,7 @@ def brute_run(doc, item):
                 while i < len(item) and j < len(doc):
                     if item[i] == doc[j]:
                         i, j = i + 1, j + 1
-                        best = max(best, i - a) if edits <= max(1, (i - a) // 10) else best
+                        best = max(best, i - a) if edits <= max(1, (i - a + 1) // 10) else best
                     elif item[i + 1 : i + 2] == doc[j + 1 : j + 2]:
                         i, j, edits = i + 1, j + 1, edits + 1
                     else:
