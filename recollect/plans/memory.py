@@ -140,6 +140,14 @@ def op11(spark, d):
     return n.where("n >= 10").select(requests.job_payload(F.col("user_id")).alias("payload"))
 
 
+@query("op12_embed")
+def op12(spark, d):
+    from recollect import providers
+
+    t = turns(spark, d).where("content is not null")
+    return t.select("turn_id", F.size(providers.embed(providers.Offline(DIM), F.col("content"))).alias("size"))
+
+
 # --- filters and projections
 
 
@@ -417,6 +425,22 @@ def op60i(spark, d):
     return _fused(spark, d, "intended").select("user_id", "key", "source", "rank", F.round("score", 6).alias("score"))
 
 
+@query("op61_vector_branch_only", f"WITH {E}, {V}, {Q}, {_TOP} SELECT user_id, 'ep:' || id AS key, 'vector' AS source FROM top")
+def op61(spark, d):
+    """The graph branch gave nothing: the union is the other branch."""
+    none = spark.createDataFrame([], "query string, user_id string, id string, rank int, score double, content string, confidence double")
+    v = _top(spark, d, "content", "ts", "surprisal", "importance", "decay")
+    return retrieval.merge_results(v, none).select("user_id", "key", "source")
+
+
+@query("op69_provider_gain")
+def op69(spark, d):
+    from recollect import providers
+
+    x = _top(spark, d, "content").join(questions(spark, d).select("user_id", "text"), "user_id")
+    return x.select("user_id", "id", F.round(providers.gain(providers.Offline(DIM), F.col("text"), F.col("content")), 6).alias("gain"))
+
+
 _GAIN = f"""gain AS (SELECT *, CASE WHEN source = 'graph' THEN 0.15 * confidence ELSE (score + 0.3 * exp(-(({NOW_S} - epoch_us(ts) // 1000000) / 3600.0) / 24)
   + CASE WHEN coalesce(surprisal, 0) > 0 THEN 0.2 * ln(1 + surprisal) / 5 ELSE 0 END + 0.1 * coalesce(importance, 0)) * coalesce(decay, 0) END AS gain FROM merged WHERE content <> ''),
 ranked AS (SELECT * FROM gain WHERE gain > -0.5)"""
