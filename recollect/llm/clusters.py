@@ -252,6 +252,17 @@ def _table(user, found) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA)], schema=_SCHEMA)
 
 
+def _features(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sizes in order of their values: a shuffle gives rows in any order, and all parts of a group must number
+    the same centroids alike."""
+    col = table["_s"].combine_chunks()
+    col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+    x, n = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), table["_w"].to_numpy()
+    key = np.ascontiguousarray(np.column_stack([x, n]))
+    order = np.argsort(key.view(np.dtype((np.void, key.dtype.itemsize * (dim + 1)))).reshape(-1), kind="stable")
+    return x[order], n[order]
+
+
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Equal vectors once: (vectors, how often, place of each row)."""
     if not len(x):
@@ -314,17 +325,12 @@ def _large(big: DataFrame, least: float, smallest: int, dim: int, group_rows: in
         once, n, _ = _distinct(_rows(table, dim)[1])
         return pack(table, *leaves(once * n[:, None], n, least))
 
-    def features(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        col = table["_s"].combine_chunks()
-        col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
-        return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), table["_w"].to_numpy()
-
     def unite(table: pa.Table) -> pa.Table:
-        return pack(table, *leaves(*features(table), least))
+        return pack(table, *leaves(*_features(table, dim), least))
 
     def finish(table: pa.Table) -> pa.Table:
         """The clusters of one list's leaves; a list keeps those whose centroid is at home in it."""
-        total, n = centroids(*features(table), least, smallest)
+        total, n = centroids(*_features(table, dim), least, smallest)
         home = (total @ coarse.T).argmax(1) == table["_part"][0].as_py() if table.num_rows else np.zeros(0, bool)
         return pack(table, total[home], n[home])
 
@@ -350,7 +356,7 @@ def _large(big: DataFrame, least: float, smallest: int, dim: int, group_rows: in
     def place(rows: pa.Table, centres: pa.Table) -> pa.Table:
         ok, x = usable(rows["_v"], dim)
         rows = rows.filter(pa.array(ok))
-        label, _ = assign(x, features(centres)[0], least) if centres.num_rows else (np.full(len(x), -1), None)
+        label, _ = assign(x, _features(centres, dim)[0], least) if centres.num_rows else (np.full(len(x), -1), None)
         keep = pa.array(label >= 0)
         return pa.table([rows["_user"].filter(keep), rows["_id"].filter(keep), rows["_v"].filter(keep), pa.array(label[label >= 0].astype(np.int32))], schema=labelled)
 

@@ -1,9 +1,11 @@
 """Neighbours and clusters against brute force, with groups in one task and split over several."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from recollect.llm import clusters
 from recollect.llm.clusters import similarity_clusters
 from recollect.llm.neighbours import nearest
 
@@ -89,3 +91,17 @@ def test_clusters(spark, group_rows):
                 whole.append(sorted(ids[a] for a in part))
     assert whole and all(sorted(groups.get(w[0], [])) == w for w in whole)
     assert similarity_clusters(df.where("false"), "user", "id", "vec", dim=DIM).count() == 0
+
+
+def test_centroids_are_numbered_alike():
+    """Whatever order a shuffle gives the centroids in, a row gets the same label, also from another part of its group."""
+    rng = np.random.default_rng(5)
+    total, n = rng.standard_normal((50, DIM)) * 4, rng.integers(3, 9, 50).astype(float)
+    x = total[np.arange(300) % 50] + 0.1 * rng.standard_normal((300, DIM))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    labels = []
+    for seed in range(3):
+        at = np.random.default_rng(seed).permutation(50)
+        table = pa.table({"_w": pa.array(n[at]), "_s": pa.array(total[at].tolist(), pa.list_(pa.float64()))})
+        labels.append(clusters.assign(x, clusters._features(table, DIM)[0], 0.85)[0].tolist())
+    assert labels[0] == labels[1] == labels[2] and len(set(labels[0])) == 50
