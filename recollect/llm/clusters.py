@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm.neighbours import MAX_LISTS, TRAIN_ROWS, _train, usable
+from recollect.session import shared_checkpoint
 
 GROUP_ROWS = 65_536
 MAX_LEAVES = 131_072
@@ -99,16 +100,31 @@ class CFTree:
 
 
 def leaves(x: np.ndarray, n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The leaf features of a CF tree over features (sums x of n unit vectors). With more than MAX_LEAVES the tree is
-    rebuilt from its leaves at a lower similarity, as BIRCH does to keep within its memory."""
-    while True:
-        tree = CFTree(x.shape[1], least)
-        for row, k in zip(x, n):
-            tree.insert(row, k)
-        x, n = np.array(tree.total).reshape(-1, x.shape[1]), np.array(tree.n)
-        if len(n) <= MAX_LEAVES:
-            return x, n
-        least -= 0.05
+    """The leaf features of a CF tree over features (sums x of n unit vectors)."""
+    tree = CFTree(x.shape[1], least)
+    for row, k in zip(x, n):
+        tree.insert(row, k)
+    return np.array(tree.total).reshape(-1, x.shape[1]), np.array(tree.n)
+
+
+def joinable(x: np.ndarray, n: np.ndarray, block: np.ndarray, least: float, smallest: int) -> np.ndarray:
+    """Which features of one or two blocks can be in a cluster: those of ``smallest`` rows, and those with a mean similarity of
+    ``least`` to another of the other block, or of the only one. The mean similarity of united features is an average of that of
+    their parts, so a feature with none that near joins none, whatever is united before."""
+    keep = n >= smallest
+    if not len(n):
+        return keep
+    a, b = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    centre = (x / n[:, None]).astype(np.float32)
+    other = centre[b]
+    tile = _tile(len(b))
+    for lo in range(0, len(a), tile):
+        rows = a[lo : lo + tile]
+        near = centre[rows] @ other.T >= least - 1e-5
+        near &= rows[:, None] != b
+        keep[rows] |= near.any(1)
+        keep[b] |= near.any(0)
+    return keep
 
 
 def ward(x: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
@@ -275,7 +291,7 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[at[order]], n[order].astype(float), rank[back.reshape(-1)]
 
 
-def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, least: float = 0.85, smallest: int = 3, dim: int = 64, group_rows: int = GROUP_ROWS) -> DataFrame:
+def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, least: float = 0.85, smallest: int = 3, dim: int = 64, group_rows: int = GROUP_ROWS, max_leaves: int = MAX_LEAVES) -> DataFrame:
     """Members of each cluster: (group, cluster_id, id, similarity, size).
 
     A cluster is a set of at least ``smallest`` ids of one group any two of which have cosine ``least`` or more;
@@ -283,7 +299,8 @@ def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, lea
 
     - Rows with a null group or id or an unusable vector (null, another length, not finite, all zero) are in no cluster;
       an id that occurs again in its group counts once; equal vectors are clustered once and all their ids are members.
-    - Groups of more than ``group_rows`` rows are summarised in several tasks and united by their features.
+    - Groups of more than ``group_rows`` rows are summarised in several tasks and united by their features. A list of more than
+      ``max_leaves`` features is first compared in pairs of blocks, to drop those that can be in no cluster.
     """
     src = df.select(F.col(group).cast("string").alias("_user"), F.col(id_col).cast("string").alias("_id"), F.col(vector).cast("array<float>").alias("_v"))
     src = src.where(F.col("_user").isNotNull() & F.col("_id").isNotNull() & (F.size("_v") == dim))
@@ -303,21 +320,21 @@ def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, lea
         return src.groupBy("_user").applyInArrow(whole, _OUT).withColumnRenamed("_user", group)
     hint = F.broadcast if groups <= 20_000 else (lambda x: x)
     small = src.join(hint(large.select("_user")), "_user", "left_anti").groupBy("_user").applyInArrow(whole, _OUT)
-    return small.unionByName(_large(src.join(hint(large), "_user"), least, smallest, dim, group_rows)).withColumnRenamed("_user", group)
+    return small.unionByName(_large(src.join(hint(large), "_user"), least, smallest, dim, group_rows, max_leaves)).withColumnRenamed("_user", group)
 
 
-def _large(big: DataFrame, least: float, smallest: int, dim: int, group_rows: int) -> DataFrame:
+def _large(big: DataFrame, least: float, smallest: int, dim: int, group_rows: int, max_leaves: int) -> DataFrame:
     big = big.withColumn("_parts", F.ceil(F.col("_n") / group_rows).cast("int"))
     big = big.withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
-    feature = pa.schema([("_user", pa.string()), ("_part", pa.int32()), ("_parts", pa.int32()), ("_w", pa.float64()), ("_s", pa.list_(pa.float64()))])
-    shape = "_user string, _part int, _parts int, _w double, _s array<double>"
+    feature = pa.schema([("_user", pa.string()), ("_part", pa.int32()), ("_parts", pa.int32()), ("_w", pa.float64()), ("_s", pa.list_(pa.float64())), ("_f", pa.int64())])
+    shape = "_user string, _part int, _parts int, _w double, _s array<double>, _f bigint"
 
     def pack(table: pa.Table, total: np.ndarray, n: np.ndarray) -> pa.Table:
         k = len(n)
         off = pa.array(np.arange(0, (k + 1) * dim, dim, dtype=np.int32)[: k + 1])
         first = lambda c: table[c][0].as_py() if table.num_rows else None
         return pa.table(
-            [pa.array([first("_user")] * k, pa.string()), pa.array([first("_part")] * k, pa.int32()), pa.array([first("_parts")] * k, pa.int32()), pa.array(n, pa.float64()), pa.ListArray.from_arrays(off, pa.array(total.reshape(-1), pa.float64()))],
+            [pa.array([first("_user")] * k, pa.string()), pa.array([first("_part")] * k, pa.int32()), pa.array([first("_parts")] * k, pa.int32()), pa.array(n, pa.float64()), pa.ListArray.from_arrays(off, pa.array(total.reshape(-1), pa.float64())), pa.array((np.int64(first("_part") or 0) << 32) + np.arange(k))],
             schema=feature,
         )
 
@@ -342,13 +359,31 @@ def _large(big: DataFrame, least: float, smallest: int, dim: int, group_rows: in
             part = b.take(pa.array(i))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.astype(np.int32)), *part.columns[2:]], schema=feature)
 
-    level = big.select("_user", "_id", "_v", "_part", "_parts").groupBy("_user", "_part").applyInArrow(build, shape)
+    def prune(table: pa.Table) -> pa.Table:
+        col = table["_s"].combine_chunks()
+        col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+        x = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        keep = joinable(x, table["_w"].to_numpy(), table["_block"].to_numpy(), least, smallest)
+        return table.select(feature.names).filter(pa.array(keep)).cast(feature)
+
+    level = shared_checkpoint(big.select("_user", "_id", "_v", "_part", "_parts").groupBy("_user", "_part").applyInArrow(build, shape))
     # near leaves of different tasks are united in lists around coarse centroids, each leaf in all lists within reach
     most = big.agg(F.max("_n")).first()[0]
     sample = big.sample(min(1.0, 1.2 * TRAIN_ROWS / most), 11).limit(TRAIN_ROWS).select("_v").toArrow()
     coarse = _train(usable(sample["_v"], dim)[1], min(MAX_LISTS, max(2, -(-2 * most // group_rows)))) if sample.num_rows else np.eye(dim)[:1]
     margin = 3.2 * np.sqrt(2 * (2 - 2 * least) / dim)
-    lists = level.mapInArrow(route, shape).groupBy("_user", "_part").applyInArrow(unite, shape)
+    routed = level.mapInArrow(route, shape)
+    over = routed.groupBy("_user", "_part").agg(F.ceil(2 * F.count(F.lit(1)) / max_leaves).cast("int").alias("_blocks")).where("_blocks > 2")
+    n_over = over.count()
+    if n_over:
+        hint = F.broadcast if n_over <= 20_000 else (lambda x: x)
+        split = routed.join(hint(over), ["_user", "_part"]).withColumn("_block", F.pmod(F.xxhash64("_f"), F.col("_blocks")).cast("int"))
+        split = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        split = split.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
+        split = split.select(*feature.names, "_block", "_lo", "_hi").groupBy("_user", "_part", "_lo", "_hi").applyInArrow(prune, shape)
+        kept = split.dropDuplicates(["_user", "_part", "_f"])
+        routed = routed.join(hint(over.select("_user", "_part")), ["_user", "_part"], "left_anti").select(*feature.names).unionByName(kept)
+    lists = routed.groupBy("_user", "_part").applyInArrow(unite, shape)
     centre = lists.groupBy("_user", "_part").applyInArrow(finish, shape)
     spread = centre.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     labelled = pa.schema([("_user", pa.string()), ("_id", pa.string()), ("_v", pa.list_(pa.float32())), ("_label", pa.int32())])

@@ -105,3 +105,23 @@ def test_centroids_are_numbered_alike():
         table = pa.table({"_w": pa.array(n[at]), "_s": pa.array(total[at].tolist(), pa.list_(pa.float64()))})
         labels.append(clusters.assign(x, clusters._features(table, DIM)[0], 0.85)[0].tolist())
     assert labels[0] == labels[1] == labels[2] and len(set(labels[0])) == 50
+
+
+def test_leaves_keep_their_similarity(monkeypatch):
+    monkeypatch.setattr(clusters, "MAX_LEAVES", 8)
+    x = np.eye(DIM)
+    assert len(clusters.leaves(x, np.ones(DIM), 0.85)[1]) == DIM
+
+
+def test_clusters_of_lists_with_many_leaves(spark):
+    """Comparing long lists in pairs of blocks gives what whole lists give; features that can join none are dropped."""
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.standard_normal((40, DIM)).repeat(4, 0) + 0.12 * rng.standard_normal((160, DIM)), rng.standard_normal((200, DIM))])
+    df = spark.createDataFrame([("a", f"{i:03d}", x.tolist()) for i, x in enumerate(v.astype(np.float32))], "user string, id string, vec array<float>")
+    whole, blocks = ({(x.cluster_id, x.id) for x in similarity_clusters(df, "user", "id", "vec", 0.85, 3, DIM, 100, m).collect()} for m in (10_000, 30))
+    assert len(whole) > 100 and blocks == whole
+    x = v / np.linalg.norm(v, axis=1)[:, None]
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    keep = clusters.joinable(x, np.ones(len(x)), np.zeros(len(x)), 0.85, 3)
+    assert (keep == (s >= 0.85).any(1)).all() and keep.sum() < 300
