@@ -30,6 +30,23 @@ Winterbrock Fenwarren Grelling Yarrowick Böhmlander Rookmantle Mirefall Krøyer
 Pellworth Prendivane Thackwray""".split()
 DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
 TLDS = "com org net edu gov info io co example test invalid de es at ch fr uk us eu".split()
+#: Words in capitals of which no name consists: of organisations, places, dates, and those that begin a sentence.
+NOT_NAMES = set("""
+works group press institute council collective archive foundry ledger yard line trust harbour bank university college school museum hotel
+inc ltd llc gmbh ag corp corporation company limited association society club team department office ministry hospital church airport station
+street st road rd avenue ave lane ln court ct crescent boulevard blvd drive terrace square close park bridge river lake bay island mountain valley north
+south east west new united city town county state kingdom straße strasse platz weg gasse allee calle plaza avenida
+january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
+januar februar märz mai juni juli oktober dezember montag dienstag mittwoch donnerstag freitag samstag sonntag
+enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre
+the a an and or but if when while between after before on in at to of for from with by without about over under as since until then there here this that these
+those i you he she it we they my your his her its our their me him us them who what which where why how all any each every no not yes so is are was
+were be been do does did has have had can could will would shall should may might must let please thanks thank hello hi dear regards someone nobody everyone
+der die das den dem des ein eine einen einem einer und oder aber wenn als zwischen nach vor in im am an auf zu zur zum von mit ohne bei aus über unter
+ich du er sie es wir ihr mein meine dein unser ist sind war nicht kein keine laut gestern heute morgen
+el la los las un una unos unas y o pero si cuando entre en de del con sin por para según sobre yo tú él ella nosotros mi tu su es son era no ayer hoy
+yesterday today tomorrow invoice order ticket user assistant customer note subject re passport
+""".split())
 ORG_WORDS = "Works Group Press Institute Council Collective Archive Foundry Ledger Yard Line Trust Harbour".split()
 
 _B, _E = r"(?<![^\W_])", r"(?![^\W_])"
@@ -49,6 +66,32 @@ TITLED = re.compile(
     rf"((?:{_CAP}|(?-i:[A-Z]\.))(?:[ \t ]+(?:{_CAP}|(?-i:[A-Z]\.))){{0,2}})",
     re.I,
 )
+# Other names have the shape of one and stand where a person does.
+_TOKEN = rf"(?:{_CAP}|(?-i:[A-ZÀ-ÖØ-Þ]\.))"
+_PARTICLES = "van von de der den del della di da dos du la le ter bin al".split()
+_LAST = rf"(?:(?:{'|'.join(_PARTICLES)})[ \t \-]){{0,2}}{_CAP}"
+_SHAPE = rf"(?:{_LAST},[ \t ]{_CAP}(?:[ \t ]{_TOKEN})?{_E}|{_TOKEN}(?:[ \t ]{_TOKEN}){{0,2}}[ \t ]{_LAST}{_E})"
+_KIN = (
+    "sister|brother|mother|father|mum|mom|dad|son|daughter|wife|husband|partner|aunt|uncle|cousin|friend|colleague|boss|manager|landlord|landlady|neighbou?r|"
+    "tenant|customer|client|patient|employee|teacher|doctor|nurse|plumber|lawyer|schwester|bruder|kundin|kunde|nachbarin|nachbar|vermieterin|vermieter|"
+    "hermana|hermano|cliente|vecin[oa]|casero"
+)
+INTRODUCED = re.compile(
+    rf"{_B}(?:(?:name|from|to|cc|by|contact|author|sender|recipient|attendee|signed|nombre|von|an|de|para|{_KIN})[ ]?[:=][ \t]*"
+    r"|(?:regards|wishes|sincerely|cheers|yours|yours truly|grüße|grüßen|gruß|saludos|atentamente)[,.]?\s+"
+    rf"|(?:{_KIN}),?[ ]|(?:ask(?:ed)? for|emergency contact|contact|met|told|reach|named|dear|hi|hello|hallo|hola|querid[oa]|liebe[rs]?|geht an|signed by)[ ]"
+    r"|(?:booking|reservation|parcel|package|letter|message|invoice|appointment) for[ ]"
+    r"|(?:lunch|dinner|coffee|breakfast|spoke|talked|speak|talk|meeting|met|chatted)(?: up)? (?:with|to)[ ])"
+    rf"({_SHAPE})",
+    re.I,
+)
+DESCRIBED = re.compile(
+    rf"{_B}({_SHAPE})(?=,? (?:lives|lived|texted|phoned|emailed|was born|born|married|told|replied|is (?:my|our)|wohnt|vive)\b|, (?:our|my|his|her|their|aged|unsere?|meine?|mi|nuestr[oa]) "
+    rf"| ?[<(](?:[\w.+\-]+[@＠]|\+?\d))",
+    re.I,
+)
+INITIALS = re.compile(rf"{_B}(?:{_CAP}(?: (?-i:[A-Z]\.)){{1,2}}|(?-i:[A-Z]\.)(?: ?(?-i:[A-Z]\.))?) {_CAP}{_E}")
+GIVEN = re.compile(rf"{_B}{_G}(?:[ \t ](?:{_G}|{_I})){{0,2}}[ \t ]{_CAP}{_E}", re.I)
 EMAIL = re.compile(
     r"(?<![\w.+\-])[\w+][\w.+\-]*+(?:(?: ?[@＠] ?|[ ]?[(\[]at[)\]] ?)[^\W_](?:[\w\-]|\.(?=\w))*(?: ?(?:\[dot\]|\(dot\)) ?[\w\-]+)*"
     rf"| at [^\W_][\w\-]*(?:(?: dot |\.)[\w\-]+)*(?: dot |\.)(?:{'|'.join(TLDS)}){_E})",
@@ -90,9 +133,13 @@ _TRIGGERS = {
     "e": ["@", "＠", "(at)", "[at]", " at "],
     "i": ["social", "ssn", "passport", "reisepass", "pasaporte", "insurance", "nino", "ni number", "licence", "license", "führerschein", "national id", "id card", "identity", "ausweis", "dni", "nie ", "tax ", "steuer", "vat ", "tin ", "tin:", "tin=", "nif", "sin ", "aadhaar", "bsn"],
     "a": [" street", " st", " road", " rd", " ave", " lane", " ln", " court", " ct", " crescent", " boulevard", " blvd", " drive", " terrace", " square", " close", "straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "box ", "postfach ", "apartado "],
+    "p": ["name", "from", "to:", "to=", "cc", "by", "author", "sender", "recipient", "attendee", "signed", "nombre", "von", "an:", "an=", "de:", "de=", "para", "sister", "brother", "mother", "father", "mum", "mom", "dad", "son", "daughter", "wife", "husband", "partner", "aunt", "uncle", "cousin", "friend", "colleague", "boss", "manager", "landl", "neighbo", "tenant", "customer", "client", "patient", "employee", "teacher", "doctor", "nurse", "plumber", "lawyer", "schwester", "bruder", "kund", "nachbar", "vermieter", "herman", "vecin", "casero", "regards", "wishes", "sincerely", "cheers", "yours", "gruß", "grüße", "saludos", "atentamente", "ask", "contact", "met ", "told ", "reach ", "dear ", "hi ", "hello ", "hallo ", "hola ", "querid", "liebe", "geht an ", " for ", " with ", " to "],
+    "d": [" lives", " lived", " texted", " phoned", " emailed", " was born", " born", " married", " told", " replied", " is my", " is our", " wohnt", " vive", ", our ", ", my ", ", his ", ", her ", ", their ", ", aged ", ", unser", ", mein", ", mi ", ", nuestr", "<", "("],
+    "g": [w.lower() for w in FEMALE + MALE],
     "s": [f"{w}{s}" for w in DIGIT_WORDS for s in (" zero", " one", " five", ", ")],
 }
 _GROUPS = {c: 1 << i for i, c in enumerate(_TRIGGERS)}
+_NO_NAME_AFTER = set(ORG_WORDS) | {w.capitalize() for w in _STREET.split("|")}
 _DIGITS = re.compile(r"\d\d")
 _LONG_NUMBER = re.compile(r"(?:\d[ .\-/()– ]{0,3}){7}")
 
@@ -155,9 +202,32 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
             after = re.match(rf"[ ](?:{'|'.join(ORG_WORDS)})\b", text[m.end() : m.end() + 14])
             if not after and m[1].split()[-1] not in ORG_WORDS:
                 take(m.start(1), m.end(1), "name")
+    for group, pattern in (("p", INTRODUCED), ("d", DESCRIBED), ("g", GIVEN)):
+        if seen & _GROUPS[group]:
+            for m in pattern.finditer(text):
+                take(*_person(text, *m.span(pattern.groups)), "name")
+    if _INITIAL.search(text):
+        for m in INITIALS.finditer(text):
+            take(*_person(text, *m.span()), "name")
     return sorted(taken)
 
 
+_INITIAL = re.compile(r"(?<![^\W_])[A-Z]\. ?[A-ZÀ-Þ]")
+_NEXT = re.compile(r"[ \t ]([^\W\d_]+)")
+
+
+def _person(text: str, start: int, end: int) -> tuple[int, int]:
+    """The name in a capitalised stretch, without words before it that begin a sentence; empty if it is none, as where one of
+    its words or the capitalised one after it belongs to an organisation, a place or a date."""
+    words = list(re.finditer(r"[^\s,]+", text[start:end]))
+    while len(words) > 2 and words[0][0].lower() in NOT_NAMES:
+        del words[0]
+    after = _NEXT.match(text, end)
+    if len(words) < 2 or any(w[0].lower() in NOT_NAMES and w[0] not in _PARTICLES for w in words) or after and after[1][0].isupper() and after[1] in _NO_NAME_AFTER:
+        return start, start
+    return start + words[0].start(), end
+
+
 _LOWER = re.compile(rf"\d[a-z]?,? ((?-i:[a-zß-ÿ][\w'’\-]*(?: \w+)?)|\w+ (?-i:[a-zß-ÿ])[\w'’\-]*) ({_STREET})\b(.*)", re.I | re.S)
 
 

@@ -32,6 +32,19 @@ def test_find_pii(text, want):
     assert [f"{k}:{text[s:e]}" for s, e, k in pii.find_pii(text)] == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("I met Karla Tessbrook yesterday", ["Karla Tessbrook"]),
+    ("Regards, John Miller", ["John Miller"]),
+    ("from: Aline de Vries <a@b.example>", ["Aline de Vries"]),
+    ("Emergency contact Miller, John: 030/23125601", ["Miller, John"]),
+    ("Someone saw Karla N. Tessbrook there. When Omar Haddad phoned, it rang.", ["Karla N. Tessbrook", "Omar Haddad"]),
+    ("Katell Tessbrook came.", ["Katell Tessbrook"]),
+    ("We met Pellimmond Press on Fenulhaven Street. I told Harbour Trust. Between Jasarthorpe and When Mavolock Foundry told us, on June 2.", []),
+])
+def test_names_outside_the_lists(text, want):
+    assert [text[s:e] for s, e, k in pii.find_pii(text) if k == "name"] == want
+
+
 def test_surrogates():
     s = pii.Surrogates(b"key")
     assert s.of("name", "Ivo Drummick").split() == s.of("name", "Drummick, Ivo").replace(",", "").split()[::-1]  # coreference
