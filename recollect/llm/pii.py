@@ -131,12 +131,12 @@ _TRIGGERS = {
     "n": [s.lower() for s in SURNAMES] + [s.lower().replace("'", "’") for s in SURNAMES if "'" in s],
     "t": ["my name is", "mein name ist", "me llamo", "mr.", "mrs.", "ms.", "miss ", "dr.", "prof.", "herr ", "frau ", "señor"],
     "e": ["@", "＠", "(at)", "[at]", " at "],
-    "i": ["social", "ssn", "passport", "reisepass", "pasaporte", "insurance", "nino", "ni number", "licence", "license", "führerschein", "national id", "id card", "identity", "ausweis", "dni", "nie ", "tax ", "steuer", "vat ", "tin ", "tin:", "tin=", "nif", "sin ", "aadhaar", "bsn"],
+    "i": ["social", "ssn", "passport", "reisepass", "pasaporte", "insurance", "nino", "ni number", "licence", "license", "führerschein", "national id", "id card", "identity", "ausweis", "dni", "nie", "tax ", "steuer", "vat ", "tin", "nif", "sin", "aadhaar", "bsn"],
     "a": [" street", " st", " road", " rd", " ave", " lane", " ln", " court", " ct", " crescent", " boulevard", " blvd", " drive", " terrace", " square", " close", "straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "box ", "postfach ", "apartado "],
     "p": ["name", "from", "to:", "to=", "cc", "by", "author", "sender", "recipient", "attendee", "signed", "nombre", "von", "an:", "an=", "de:", "de=", "para", "sister", "brother", "mother", "father", "mum", "mom", "dad", "son", "daughter", "wife", "husband", "partner", "aunt", "uncle", "cousin", "friend", "colleague", "boss", "manager", "landl", "neighbo", "tenant", "customer", "client", "patient", "employee", "teacher", "doctor", "nurse", "plumber", "lawyer", "schwester", "bruder", "kund", "nachbar", "vermieter", "herman", "vecin", "casero", "regards", "wishes", "sincerely", "cheers", "yours", "gruß", "grüße", "saludos", "atentamente", "ask", "contact", "met ", "told ", "reach ", "dear ", "hi ", "hello ", "hallo ", "hola ", "querid", "liebe", "geht an ", " for ", " with ", " to "],
     "d": [" lives", " lived", " texted", " phoned", " emailed", " was born", " born", " married", " told", " replied", " is my", " is our", " wohnt", " vive", ", our ", ", my ", ", his ", ", her ", ", their ", ", aged ", ", unser", ", mein", ", mi ", ", nuestr", "<", "("],
     "g": [w.lower() for w in FEMALE + MALE],
-    "s": [f"{w}{s}" for w in DIGIT_WORDS for s in (" zero", " one", " five", ", ")],
+    "s": [f"{w}{s}" for w in (*DIGIT_WORDS, "oh") for s in (" ", "-", ", ")],
 }
 _GROUPS = {c: 1 << i for i, c in enumerate(_TRIGGERS)}
 _NO_NAME_AFTER = set(ORG_WORDS) | {w.capitalize() for w in _STREET.split("|")}

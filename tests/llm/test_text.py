@@ -45,6 +45,17 @@ def test_names_outside_the_lists(text, want):
     assert [text[s:e] for s, e, k in pii.find_pii(text) if k == "name"] == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Call nine eight seven six four three two two oh two.", "phone:nine eight seven six four three two two oh two"),
+    ("It is two-four-two-six-seven-eight-nine.", "phone:two-four-two-six-seven-eight-nine"),
+    ("NIE: X1234567L", "id_number:X1234567L"),
+    ("SIN: 046454286", "id_number:046454286"),
+    ("TIN#046454286", "id_number:046454286"),
+])
+def test_triggers_cover_the_patterns(text, want):
+    assert [f"{k}:{text[s:e]}" for s, e, k in pii.find_pii(text)] == [want]
+
+
 def test_surrogates():
     s = pii.Surrogates(b"key")
     assert s.of("name", "Ivo Drummick").split() == s.of("name", "Drummick, Ivo").replace(",", "").split()[::-1]  # coreference
