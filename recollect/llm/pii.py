@@ -256,6 +256,11 @@ class Surrogates:
         self.known = {_fold(w) for w in FEMALE + MALE + SURNAMES}
 
     def of(self, kind: str, value: str) -> str:
+        out = self._of(kind, value)
+        # where nothing can take another value, a keyed token stands for it
+        return out if out != value else hmac.new(self.key, value.encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest()[:16]
+
+    def _of(self, kind: str, value: str) -> str:
         if kind == "phone" and not any(c.isdigit() for c in value):
             return self._spoken(value)
         if kind in ("phone", "id_number"):
@@ -296,27 +301,29 @@ class Surrogates:
         n = 0
         for c, a in zip(value, alphabets):
             n = n * len(a) + a.index(c)
-        form = "".join(a[0] for a in alphabets).encode()
+        form = "".join(a[0] for a in alphabets).encode("utf-8", "surrogatepass")
         while True:
-            n = out = self._permute(n, size, form)
+            n = out = self._permute((self._permute(n, size, form) + 1) % size, size, form, back=True)  # a single cycle: no value stays
             chars = []
             for a in reversed(alphabets):
                 out, k = divmod(out, len(a))
                 chars.append(a[k])
             text = "".join(reversed(chars))
-            if text != value and _fold(text) not in self.known:  # walks on within the permutation's cycle
+            if text == value or _fold(text) not in self.known:  # walks on within the cycle
                 return text
-            if text == value:
-                return value
 
-    def _permute(self, n: int, size: int, form: bytes) -> int:
+    def _permute(self, n: int, size: int, form: bytes, back: bool = False) -> int:
         half = ((size - 1).bit_length() + 1) // 2
         mask = (1 << half) - 1
         while True:
             left, right = n >> half, n & mask
-            for i in range(6):
+            if back:
+                left, right = right, left
+            for i in reversed(range(6)) if back else range(6):
                 digest = hmac.new(self.key, b"%d|%d|%s|%d" % (i, half, form, right), hashlib.sha256).digest()
                 left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
+            if back:
+                left, right = right, left
             n = left << half | right
             if n < size:
                 return n
@@ -333,7 +340,20 @@ def _alphabet(c: str) -> str:
             return a
         if c.lower() in a and c.isupper():
             return a.upper()
-    return ""
+    return "" if c.isascii() else _other_alphabet(c)
+
+
+@lru_cache(65_536)
+def _other_alphabet(c: str) -> str:
+    """The ten digits of the same script; the letters of the same script, class and case among the 256 characters around."""
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return ""
+    script, kind, start = unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), ord(c) & ~0xFF
+    near = (chr(i) for i in range(max(start, 128), start + 256))
+    return "".join(x for x in near if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script)
 
 
 def _fold(w: str) -> str:

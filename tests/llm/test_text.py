@@ -56,6 +56,18 @@ def test_triggers_cover_the_patterns(text, want):
     assert [f"{k}:{text[s:e]}" for s, e, k in pii.find_pii(text)] == [want]
 
 
+def test_surrogates_in_other_scripts():
+    s = pii.Surrogates(b"key")
+    for kind, value in (("email", "иван@почта.рф"), ("phone", "+٩٦٦ ٥٠ ١٢٣ ٤٥٦٧"), ("phone", "＋８１ ３ １２３４ ５６７８"), ("email", "mail@mail.com"), ("name", "李 小龍"), ("name", "Éé Öö")):
+        assert s.of(kind, value) != value
+    phone = s.of("phone", "٠٥٠ ١٢٣ ٤٥٦٧")
+    assert len(phone) == 12 and all("٠" <= c <= "٩" for c in phone.replace(" ", ""))
+    assert s.of("email", "иван@почта.рф")[:4].isalpha() and pii.redact("mail иван@почта.рф", s).count("иван") == 0
+    for letters in ("0123456789", "٠١٢٣٤٥٦٧٨٩", "абвгдежз", "éèêö", "bcdf"):
+        out = [s._format(a + b, letters=True) for a in letters for b in letters]
+        assert len(set(out)) == len(out) and all(o != a + b for o, (a, b) in zip(out, ((a, b) for a in letters for b in letters)))
+
+
 def test_surrogates():
     s = pii.Surrogates(b"key")
     assert s.of("name", "Ivo Drummick").split() == s.of("name", "Drummick, Ivo").replace(",", "").split()[::-1]  # coreference
