@@ -5,8 +5,8 @@ distances block by block; after each, a test on the partial distance (as in ADSa
 a candidate within distance r lies below r sqrt(m/d) (1 + eps/sqrt(m)) almost surely) drops most candidates.
 
 A group of up to LIST_ROWS rows is one list. Larger groups are routed to lists around coarse centroids, which are
-fitted on a bounded sample; each vector is stored in its nearest list and looked up in those it may have neighbours in. A
-list that outgrows LIST_ROWS is split into blocks, each looked up by the same queries, so no task holds more.
+fitted on a bounded sample; each vector is stored in its nearest list and looked up in those it may have neighbours in, which
+without a limit are all. What a list stores and those who ask it are cut into blocks of about LIST_ROWS, a task for each pair.
 """
 
 from __future__ import annotations
@@ -158,16 +158,14 @@ def _train(rows: np.ndarray, lists: int) -> np.ndarray:
     return c
 
 
-def _route(centroids: np.ndarray, dim: int, probes: int, margin: float):
+def _route(centroids: np.ndarray, dim: int, margin: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok, x = usable(b.column(2), dim)
             kept = b.filter(pa.array(ok))
             sim = x @ centroids.T
             home = sim.argmax(1)
-            near = np.argsort(-sim, axis=1)[:, :probes]
-            i, c = np.nonzero(np.take_along_axis(sim, near, 1) >= sim.max(1, keepdims=True) - margin) if len(x) else (np.zeros(0, int),) * 2
-            lists = near[i, c]
+            i, lists = np.nonzero(sim >= sim.max(1, keepdims=True) - margin) if len(x) else (np.zeros(0, int),) * 2
             part = kept.take(pa.array(i))
             role = np.where(lists == home[i], 3, 2)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists.astype(np.int32)), pa.array(role.astype(np.int32))], names=["_user", "_id", "_v", "_list", "_role"])
@@ -182,7 +180,8 @@ def nearest(df: DataFrame, group: str, id_col: str, vector: str, k: int = 5, lea
     - Rows with a null group or id or an unusable vector (null, another length, not finite, all zero) have no
       neighbours and are none. An id that occurs again in its group counts once. A group of one has no rows in the result.
     - Groups of up to ``list_rows`` rows are searched exactly but for the dimension test (loss far below one in a
-      thousand); in larger ones a neighbour across distant lists can be missed.
+      thousand); larger ones as well without a limit (``least`` of 0 or less), in time that is quadratic in the group. With
+      a limit a neighbour across distant lists can be missed.
     """
     src = df.select(F.col(group).cast("string").alias("_user"), F.col(id_col).cast("string").alias("_id"), F.col(vector).cast("array<float>").alias("_v"))
     src = src.where(F.col("_user").isNotNull() & F.col("_id").isNotNull() & (F.size("_v") == dim))
@@ -202,20 +201,24 @@ def nearest(df: DataFrame, group: str, id_col: str, vector: str, k: int = 5, lea
     _, rows = usable(sample["_v"], dim)
     if not len(rows):
         rows = np.eye(dim)[:1]
+    # without a limit all lists are searched, as no margin bounds how far the k nearest are;
     # a near vector's similarity to any centroid differs by about sqrt((2 - 2 least) / dim) from that of its neighbour
-    margin = 2.0 if least <= 0 else 3.2 * math.sqrt(2 * (2 - 2 * least) / dim)
+    margin = 3.0 if least <= 0 else 3.2 * math.sqrt(2 * (2 - 2 * least) / dim)
     routed = big.mapInArrow(
-        _route(_train(rows, lists), dim, lists if least <= 0 and lists <= 8 else max(8, lists // 3), margin),
+        _route(_train(rows, lists), dim, margin),
         "_user string, _id string, _v array<float>, _list int, _role int",
     )
-    sizes = routed.where("_role = 3").groupBy("_user", "_list").agg(F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("_blocks"))
+    stored = F.greatest(F.ceil(F.sum((F.col("_role") == 3).cast("int")) / list_rows), F.lit(1)).cast("int").alias("_blocks")
+    sizes = routed.groupBy("_user", "_list").agg(stored, F.ceil(F.count(F.lit(1)) / list_rows).cast("int").alias("_asks"))
     if found["groups"] * lists <= 200_000:
         sizes = F.broadcast(sizes)
     routed = routed.join(sizes, ["_user", "_list"])
-    own = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
-    routed = routed.withColumn("_own", own).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    routed = routed.withColumn("_role", F.when(F.col("_role") == 3, F.when(F.col("_own") == F.col("_block"), 3).otherwise(2)).otherwise(2))
-    parts = routed.select("_user", "_id", "_v", "_role", "_list", "_block").groupBy("_user", "_list", "_block").applyInArrow(search, out)
+    # a cell holds one block of what the list stores and one of those who ask
+    routed = routed.withColumn("_cell", F.explode(F.expr("sequence(0L, cast(_blocks as bigint) * _asks - 1)")))
+    routed = routed.withColumn("_own", (F.col("_role") == 3) & (F.pmod(F.xxhash64("_id"), F.col("_blocks")) == F.col("_cell") % F.col("_blocks")))
+    routed = routed.withColumn("_ask", F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_asks")) == F.floor(F.col("_cell") / F.col("_blocks")))
+    routed = routed.withColumn("_role", F.col("_own").cast("int") + 2 * F.col("_ask").cast("int")).where("_role > 0")
+    parts = routed.select("_user", "_id", "_v", "_role", "_list", "_cell").groupBy("_user", "_list", "_cell").applyInArrow(search, out)
     best = parts.groupBy("_user", "id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("n")))), 1, k).alias("_b"))
     merged = best.select("_user", "id", F.posexplode("_b").alias("_p", "_x")).select("_user", "id", F.col("_x.n").alias("neighbour"), (-F.col("_x.s")).alias("similarity"), (F.col("_p") + 1).cast("int").alias("rank"))
     return small.groupBy("_user").applyInArrow(search, out).unionByName(merged).withColumnRenamed("_user", group)

@@ -125,3 +125,13 @@ def test_clusters_of_lists_with_many_leaves(spark):
     np.fill_diagonal(s, -1)
     keep = clusters.joinable(x, np.ones(len(x)), np.zeros(len(x)), 0.85, 3)
     assert (keep == (s >= 0.85).any(1)).all() and keep.sum() < 300
+
+
+def test_nearest_without_limit_over_many_lists(spark):
+    """More than 8 lists: the nearest of unrelated vectors lie in any of them."""
+    x = np.random.default_rng(2).standard_normal((120, DIM)).astype(np.float32)
+    rows = [("a", f"{i:03d}", v.tolist(), 0.0) for i, v in enumerate(x)]
+    ids, s = similarities(rows)
+    want = {(a, b) for i, a in enumerate(ids) for _, b in sorted((-round(s[i, j], 12), b) for j, b in enumerate(ids) if j != i)[:5]}
+    got = nearest(spark.createDataFrame(rows, SCHEMA), "user", "id", "vec", 5, -1.0, DIM, 8).collect()
+    assert {(x.id, x.neighbour) for x in got} == want and len(got) == len(want)
