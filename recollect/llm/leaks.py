@@ -158,17 +158,16 @@ def longest_run(doc: np.ndarray, item: np.ndarray, width: int = 12) -> int:
         last = now
     runs += [(len(doc) - n, j - n + 1, n) for j, n in last.items()]
     runs.sort()
-    best, chains = 0, []
-    for a, b, n in runs:
+    best, ends = 0, {}  # chains by their end in doc, with their number
+    for number, (a, b, n) in enumerate(runs):
         chain = (n, 0, b)  # words matched, edits, first word of the item
-        for a2, b2, (m, e, b0) in reversed(chains[-200:]):
+        near = [x for a2 in range(a - width // 2, a + 1) for x in ends.get(a2, ()) if 0 <= b - x[2] <= width // 2 and abs(a - a2 - b + x[2]) <= 3]
+        for _, a2, b2, (m, e, b0) in sorted(near, reverse=True):
             da, db = a - a2, b - b2
-            if da < 0 or db < 0 or max(da, db) > width // 2 or abs(da - db) > 3:
-                continue
             edits = e + max(da, db)
             if (m + n) - 4 * edits > chain[0] - 4 * chain[1] and m - 4 * max(da, db) - 4 * e > 0:
                 chain = (m + n, edits, b0)
-        chains.append((a + n, b + n, chain))
+        ends.setdefault(a + n, []).append((number, a + n, b + n, chain))
         span = b + n - chain[2]
         if chain[1] <= max(1, (span + 1) // 10):
             best = max(best, span)

@@ -230,6 +230,11 @@ def test_longest_run(seed):
         assert leaks.longest_run(np.array(doc), np.array(item)) == brute_run(doc, item)
 
 
+def test_longest_run_among_repeated_words():
+    item = np.array([*range(16), *[99] * 250])
+    assert leaks.longest_run(np.array([*range(8), 99, *range(8, 16)]), item) == 16
+
+
 def test_subjects(spark):
     r = random.Random(8)
     topics = {n: words(r, 25) for n in ("law", "sport", "music")}
