@@ -78,8 +78,7 @@ def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").select("item_id", F.concat_ws(" ", "passage", "question").alias("text"))
-    rows = [(r["item_id"], r["text"]) for r in items.where("item_id is not null").collect()]
-    return leaked_items(table(spark, d, "documents"), "doc_id", "text", rows).select("doc_id", "item_id")
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:

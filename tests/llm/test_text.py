@@ -173,6 +173,37 @@ def words(r, n):
     return ["".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(3, 9))) for _ in range(n)]
 
 
+def item_frame(spark, items):
+    return spark.createDataFrame(items, "item_id bigint, body string")
+
+
+def brute_run(doc, item):
+    """The most consecutive words of the item that the document repeats with at most one in ten edited, by a table over all words of
+    both and all numbers of edits."""
+    best, top = 0, len(item) // 10 + 1
+    state = {}
+    for i in range(len(item)):
+        for j in range(len(doc)):
+            for e in range(top):
+                at = []
+                if item[i] == doc[j]:
+                    at.append(max(state.get((i - 1, j - 1, e), -999), 0 if e == 0 else -999) + 1)
+                    if at[-1] > 0 and e <= max(1, (at[-1] + 1) // 10):
+                        best = max(best, at[-1])
+                if e:
+                    at += [state.get((i - 1, j - 1, e - 1), -999) + 1, state.get((i - 1, j, e - 1), -999) + 1, state.get((i, j - 1, e - 1), -999)]
+                state[i, j, e] = max(at, default=-999)
+    return best
+
+
+def found(items, docs, min_words=15):
+    text, item, n = leaks._search(leaks.build_index(items, min_words), docs, min_words)
+    out = {}
+    for t, i, k in zip(text.tolist(), item.tolist(), n.tolist()):
+        out[t, i] = max(k, out.get((t, i), 0))
+    return out
+
+
 def test_leaks(spark):
     r = random.Random(4)
     vocab = words(r, 400)
@@ -193,46 +224,69 @@ def test_leaks(spark):
         docs.append((i, " ".join(body), 0))
     docs += docs[:20] + [(900, None, 0), (901, "", 0)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, words int")
-    assert {(x.doc_id, x.item_id) for x in leaks.leaked_items(df, "doc_id", "text", items).collect()} == want
-    assert leaks.leaked_items(df.where("false"), "doc_id", "text", items).count() == 0
-    assert leaks.leaked_items(df, "doc_id", "text", []).count() == 0
-
-
-def brute_run(doc, item):
-    """The longest stretch of the item, by words, with its words in order in the document and at most one in ten edited."""
-    best = 0
-    for a in range(len(item)):
-        for b in range(len(doc)):
-            if doc[b] == item[a] and (a == 0 or b == 0 or doc[b - 1] != item[a - 1]):
-                i, j, edits = a, b, 0
-                while i < len(item) and j < len(doc):
-                    if item[i] == doc[j]:
-                        i, j = i + 1, j + 1
-                        best = max(best, i - a) if edits <= max(1, (i - a + 1) // 10) else best
-                    elif item[i + 1 : i + 2] == doc[j + 1 : j + 2]:
-                        i, j, edits = i + 1, j + 1, edits + 1
-                    else:
-                        break
-    return best
+    items += [(300, items[0][1]), (301, None), (302, ""), (None, "a b"), (303, "too short")]
+    want |= {(i, 300) for i, item in want if item == 100}
+    for chars in (10**6, 3000):  # one pass, several passes
+        got = leaks.leaked_items(df, "doc_id", "text", item_frame(spark, items), "item_id", "body", max_chars=chars)
+        assert {(x.doc_id, x.item_id) for x in got.collect()} == want and got.count() == len(want)
+    assert leaks.leaked_items(df.where("false"), "doc_id", "text", item_frame(spark, items), "item_id", "body").count() == 0
+    assert leaks.leaked_items(df, "doc_id", "text", item_frame(spark, items).where("false"), "item_id", "body").count() == 0
+
+
+@pytest.mark.parametrize("letters", [(1, 2), (3, 9)])
+@pytest.mark.parametrize("n", [15, 19, 20, 29, 30])
+def test_leaks_with_an_edit_anywhere(n, letters):
+    """Edits at every position, altered, lost or added, where the alignment of all words says that the passage is repeated."""
+    r = random.Random(n)
+    word = lambda: "".join(r.choice(string.ascii_lowercase + string.digits) for _ in range(r.randint(*letters)))
+    items = [(i, " ".join(word() for _ in range(34))) for i in range(6)]
+    docs, want, checked = [], {}, {}
+    for k in range(n):
+        for edits in range(1, max(1, (n + 1) // 10) + 1):
+            for kind in ("alter", "lose", "add"):
+                item = r.randrange(6)
+                at = r.randrange(34 - n)
+                part = items[item][1].split()[at : at + n]
+                for p in sorted({(k + x * (n // edits)) % n for x in range(edits)}, reverse=True):
+                    part[p : p + (kind != "add")] = [] if kind == "lose" else [word()]
+                docs.append(" ".join([word() for _ in range(3)] + part + [word() for _ in range(3)]))
+                got = checked[len(docs) - 1, item] = brute_run(docs[-1].split(), items[item][1].split())
+                if got >= 15:
+                    want[len(docs) - 1, item] = got
+    got = found(items, docs)
+    assert set(want) <= set(got) and all(got[x] == want[x] for x in want)
+    assert all((checked.get(x) or brute_run(docs[x[0]].split(), items[x[1]][1].split())) >= 15 for x in got)
+    assert len(want) >= len(docs) // 3
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_longest_run(seed):
+def test_alignment(seed):
     r = random.Random(seed)
-    item = [r.randrange(500) for _ in range(60)]
+    item = np.array([r.randrange(60) for _ in range(50)], np.uint64)
+    docs = []
     for _ in range(20):
-        a = r.randrange(40)
-        part = item[a : a + r.randrange(5, 20)]
-        if len(part) > 12:
-            part[len(part) // 2] = -1
-        doc = [r.randrange(500, 900) for _ in range(30)]
-        doc[5:5] = part
-        assert leaks.longest_run(np.array(doc), np.array(item)) == brute_run(doc, item)
-
-
-def test_longest_run_among_repeated_words():
-    item = np.array([*range(16), *[99] * 250])
-    assert leaks.longest_run(np.array([*range(8), 99, *range(8, 16)]), item) == 16
+        part = list(item[(a := r.randrange(30)) : a + r.randrange(5, 20)])
+        for _ in range(r.randrange(3)):
+            part[r.randrange(len(part))] = 99
+        docs.append(np.array([r.randrange(80) for _ in range(10)] + part + [r.randrange(80) for _ in range(10)], np.uint64))
+    first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    k, z = len(docs), np.zeros(len(docs), int)
+    got = leaks.align(np.concatenate(docs), item, first[:-1], first[1:], z, z + 50, first[:-1] - 50, 110)
+    assert got.tolist() == [brute_run(d.tolist(), item.tolist()) for d in docs] and k == 20
+
+
+def test_leaks_among_repeated_words():
+    item = [*map(str, range(16)), *["x"] * 250]
+    doc = " ".join([*map(str, range(8)), "y", *map(str, range(8, 16))])
+    assert found([(1, " ".join(item))], [doc]) == {(0, 1): 16}
+
+
+def test_a_shared_passage_is_found_for_all_items():
+    r = random.Random(3)
+    lead = words(r, 18)
+    items = [(i, " ".join(lead + words(r, 30))) for i in range(300)]
+    docs = [" ".join(words(r, 10) + lead + words(r, 10)) for _ in range(5)]
+    assert set(found(items, docs)) == {(t, i) for t in range(5) for i in range(300)}
 
 
 def test_subjects(spark):
