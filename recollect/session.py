@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, name: str = "recollect") -> SparkSession
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -25,12 +26,15 @@ def local_session(cores: int | str = 8, name: str = "recollect") -> SparkSession
 def shared_checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a folder of our own is set. The files are shared by all executors, so the loss of an
-    executor does not lose the data.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset, a folder of our own is
+    set in local mode only (tests on one machine). The files are shared by all executors, so the loss of an
+    executor does not lose the data. They are deleted when nothing refers to them if the cluster sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` does.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not own and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="recollect-"))
     return df.checkpoint(eager)

@@ -3,11 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from recollect.operators.history import bitemporal_ledger, versions
-from recollect.operators.intervals import covered
+from recollect.operators.intervals import Lists, covered, merge, merge_tree
 from recollect.operators.sessions import gap_tree, sessions
 from recollect.sources.tables import micros
 
@@ -46,6 +47,38 @@ def test_sessions(spark, target):
     assert gap_tree(df.where("false"), ["user"], "ts", "id").count() == 0
 
 
+def union(intervals):
+    out = []
+    for s, e in sorted(intervals):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def as_lists(lists):
+    flat = [x for one in lists for x in one]
+    return Lists(np.cumsum([0, *map(len, lists)]), np.array([s for s, _ in flat], np.int64), np.array([e for _, e in flat], np.int64))
+
+
+def rows_of(x):
+    return [[[s, e] for s, e in zip(x.start[a:b].tolist(), x.end[a:b].tolist())] for a, b in zip(x.off, x.off[1:])]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_merge_of_lists(seed):
+    r = random.Random(seed)
+    some = lambda: union([(s := r.randrange(60), s + r.randrange(1, 9)) for _ in range(r.randrange(8))])
+    a, b = [some() for _ in range(40)], [some() for _ in range(40)]
+    both = merge(as_lists(a), as_lists(b))
+    assert rows_of(both) == [union([*x, *y]) for x, y in zip(a, b)] == rows_of(merge(as_lists(b), as_lists(a)))
+    sizes = [r.randrange(7) for _ in range(30)]
+    groups = [[some() for _ in range(n)] for n in sizes]
+    tree = merge_tree(np.cumsum([0, *sizes]), as_lists([x for g in groups for x in g]))
+    assert rows_of(tree) == [union([i for x in g for i in x]) for g in groups]
+
+
 @pytest.mark.parametrize("target", [4, 1000])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_intervals(spark, target, seed):
@@ -68,7 +101,8 @@ def test_intervals(spark, target, seed):
                 out.append([f, t])
         us = lambda x: None if x == datetime.max else round((x - datetime(1970, 1, 1)).total_seconds() * US)
         want += [(k, "period", us(f), us(t)) for f, t in out] + [(k, "gap", us(a[1]), us(b[0])) for a, b in zip(out, out[1:])]
-    got = [tuple(x) for x in covered(df, ["k"], "f", "t", target).select("k", "kind", "start_us", "end_us").collect()]
+    fan_in = 2 if seed == 2 else 256  # levels of tasks
+    got = [tuple(x) for x in covered(df.repartition(7), ["k"], "f", "t", target, fan_in).select("k", "kind", "start_us", "end_us").collect()]
     key = lambda x: (*x[:3], x[3] or 0)
     assert sorted(got, key=key) == sorted(want, key=key)
     assert covered(df.where("false"), ["k"], "f", "t").count() == 0
