@@ -1,7 +1,9 @@
 """Personal information in free text: detection and keyed, format-preserving surrogates.
 
 Detection runs in Arrow batches. One pass of a keyword automaton over a text decides which of the exact patterns have
-to run on it, so that most texts cost one pass. Surrogates are bijections under a key: two different values of the same
+to run on it, so that most texts cost one pass. Names need no list of the corpus' names: they are found by where they stand and how they
+look, and what is found so is counted over the whole corpus, which gives a lexicon of its given names and surnames (``learn``); with
+it a second pass finds the names that stand nowhere special. Surrogates are bijections under a key: two different values of the same
 format never share a surrogate (the collision check is part of the permutation), the same value always gets the same one.
 """
 
@@ -9,6 +11,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -18,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Given names by gender and surnames known to the detector.
-FEMALE = """Katell Nuria Zoë Dagny Jorunn Kerensa Velda Ursel Lioba Ciara Marit Ilka Edda Henrike Nerys Niamh Maelis Yelena
-Anouk Fenna Ottilie Renée Tamsin Isolde Petra Dorrit Sorrel Ailbhe Jessamy Eluned Sunniva Thessaly Gudrun""".split()
-MALE = """Tibor Quill Rurik Orrin Galen Rafferty Corwen Leopold Osric Frode Mattis Pelle Brannoc Íñigo Hadrin Wystan Jürgen Joss
-Søren Zoltan Ivo Bastel""".split()
-SURNAMES = """Lindqvell Kettlemoor Umberfield Marchbanck Eversholm Quillfeather O'Varrick Orrinck Velloway Hobbermarsh Sablewood
-Tarrowby Farrowdane Underhask Abendrotti Drummick Ostrander McTarrow Jorrocksen Lovelasken Harkaby Łukomirski Núñezal Stavrogard
-Nethersoll Vanterpool-Reed Ashgrove-Pell Dunmorrick Tolliverne Brannigard Müllenhart van-Oosterhage D'Ambrissel Szélvári
-Winterbrock Fenwarren Grelling Yarrowick Böhmlander Rookmantle Mirefall Krøyersen Coldharrow Castellmor Zellander Ivesdahl Wexcombe
-Pellworth Prendivane Thackwray""".split()
+from recollect.session import shared_checkpoint
+
+# Common given names by gender and common surnames of several languages; they are known before anything is learned and
+# replace each other.
+FEMALE = """Alice Amina Ana Angela Anna Barbara Beatriz Birgit Carla Carmen Catherine Charlotte Claire Claudia Cristina Diana Elena Elisabeth Elizabeth
+Emily Emma Eva Fatima Gabriela Giulia Hannah Helen Helga Ingrid Irene Isabel Jana Jane Jennifer Jessica Johanna Julia Karen Katharina Laura Linda
+Lucia Maria Marie Marta Mary Mei Monika Natalia Nicole Olga Patricia Paula Priya Sabine Sandra Sara Sarah Silvia Sofia Susan Susanne Teresa Ursula
+Yuki""".split()
+MALE = """Adam Ahmed Alberto Alexander Andreas Andrew Antonio Arjun Bernd Carlos Charles Christian Daniel David Diego Dieter Edward Fernando Francisco
+Friedrich George Giovanni Hans Henry Hiroshi Hugo Ivan Jack James Jan Javier Joachim Johannes John Jorge José Joseph Juan Jürgen Karl Kevin Klaus
+Lars Luis Luke Manuel Marco Mario Markus Martin Matthew Michael Miguel Mohammed Omar Pablo Paul Pedro Peter Philip Rafael Richard Robert Stefan Thomas
+Tom Wei William Wolfgang""".split()
+SURNAMES = """Ali Allen Andersson Becker Brown Chen Costa Davis Evans Fernández Fischer García González Hoffmann Ivanov Jensen Johnson Jones Kim Kumar
+Lee López Martínez Meyer Miller Müller Nguyen Novak Petrov Rossi Sánchez Schmidt Schneider Schulz Silva Singh Smith Taylor Wagner Wang Weber Wilson
+Wright Yamamoto Zhang""".split()
 DIGIT_WORDS = "zero one two three four five six seven eight nine".split()
 TLDS = "com org net edu gov info io co example test invalid de es at ch fr uk us eu".split()
 #: Words in capitals of which no name consists: of organisations, places, dates, and those that begin a sentence.
@@ -50,24 +58,34 @@ yesterday today tomorrow invoice order ticket user assistant customer note subje
 ORG_WORDS = "Works Group Press Institute Council Collective Archive Foundry Ledger Yard Line Trust Harbour".split()
 
 _B, _E = r"(?<![^\W_])", r"(?![^\W_])"
-_alt = lambda words: "|".join(sorted((re.escape(w).replace("'", "['’]") for w in words), key=len, reverse=True))
-_G, _S = f"(?:{_alt(FEMALE + MALE)})", f"(?:{_alt(SURNAMES)})"
+
+
+def _class(wanted) -> str:
+    """A character class of the characters of the basic plane that satisfy a condition."""
+    runs: list[list[int]] = []
+    for c in range(0x10000):
+        if wanted(chr(c)):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+
+
+#: Capital letters, and letters of scripts without case, of which names consist as well.
+_UP = _class(str.isupper)
+_UNCASED = _class(lambda c: unicodedata.category(c) == "Lo")
 _I = r"[^\W\d_]\."
 _W = r"[^\W\d_][\w'’\-]*"
-_CAP = r"(?-i:[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚŁŃŇŌŐŘŚŞŠŤŪŮŹŻŽ][\w'’]+(?:-[\w'’]+)*)"
+_CAP = rf"(?-i:{_UP}[\w'’]+(?:-[\w'’]+)*)"
 
-NAME = re.compile(
-    rf"{_B}(?:{_S},[ \t ]{_G}(?:[ \t ](?:{_G}|{_I}))?{_E}|{_G}(?:[ \t ](?:{_G}{_E}|{_I})){{0,2}}[ \t ]{_S}{_E}"
-    rf"|(?:{_I}[ \t ]?){{1,2}}[ \t ]?{_S}{_E})",
-    re.I,
-)
 TITLED = re.compile(
     rf"{_B}(?:my name is|mein name ist|me llamo|mrs?\.|ms\.|miss|dr\.|prof\.|herr|frau|señora?)[ \t ]+"
-    rf"((?:{_CAP}|(?-i:[A-Z]\.))(?:[ \t ]+(?:{_CAP}|(?-i:[A-Z]\.))){{0,2}})",
+    rf"((?:{_CAP}|{_UNCASED}+|(?-i:{_UP}\.))(?:[ \t\u00a0]+(?:{_CAP}|{_UNCASED}+|(?-i:{_UP}\.))){{0,2}})",
     re.I,
 )
 # Other names have the shape of one and stand where a person does.
-_TOKEN = rf"(?:{_CAP}|(?-i:[A-ZÀ-ÖØ-Þ]\.))"
+_TOKEN = rf"(?:{_CAP}|(?-i:{_UP}\.))"
 _PARTICLES = "van von de der den del della di da dos du la le ter bin al".split()
 _LAST = rf"(?:(?:{'|'.join(_PARTICLES)})[ \t \-]){{0,2}}{_CAP}"
 _SHAPE = rf"(?:{_LAST},[ \t ]{_CAP}(?:[ \t ]{_TOKEN})?{_E}|{_TOKEN}(?:[ \t ]{_TOKEN}){{0,2}}[ \t ]{_LAST}{_E})"
@@ -90,8 +108,15 @@ DESCRIBED = re.compile(
     rf"| ?[<(](?:[\w.+\-]+[@＠]|\+?\d))",
     re.I,
 )
-INITIALS = re.compile(rf"{_B}(?:{_CAP}(?: (?-i:[A-Z]\.)){{1,2}}|(?-i:[A-Z]\.)(?: ?(?-i:[A-Z]\.))?) {_CAP}{_E}")
-GIVEN = re.compile(rf"{_B}{_G}(?:[ \t ](?:{_G}|{_I})){{0,2}}[ \t ]{_CAP}{_E}", re.I)
+INITIALS = re.compile(rf"{_B}(?:{_CAP}(?: {_UP}\.){{1,2}}|{_UP}\.(?: ?{_UP}\.)?) {_CAP}{_E}")
+SAID = re.compile(rf"{_B}(?:my name is|mein name ist|me llamo)[ ]+({_W}(?:[ ]{_W}){{1,2}})", re.I)
+CAPITALISED = re.compile(rf"(?<![\w'’\-]){_UP}[\w'’\-]*")
+# What may stand before a surname (the given names and initials) and after one or a given name.
+_LEFT = re.compile(rf"(?:(?<![\w'’\-])(?:{_W}|{_I})[ \t ]?){{1,4}}$")
+_WORD = re.compile(rf"{_I}|{_W}")
+_AFTER = re.compile(rf"([ \t ])(?:({_I})|({_W}))")
+_COMMA = re.compile(rf",[ \t ]({_W})(?:[ \t ](?:{_I}|{_W}))?")
+IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\w-])")
 EMAIL = re.compile(
     r"(?<![\w.+\-])[\w+][\w.+\-]*+(?:(?: ?[@＠] ?|[ ]?[(\[]at[)\]] ?)[^\W_](?:[\w\-]|\.(?=\w))*(?: ?(?:\[dot\]|\(dot\)) ?[\w\-]+)*"
     rf"| at [^\W_][\w\-]*(?:(?: dot |\.)[\w\-]+)*(?: dot |\.)(?:{'|'.join(TLDS)}){_E})",
@@ -128,14 +153,13 @@ ADDRESS = re.compile(
 )
 
 _TRIGGERS = {
-    "n": [s.lower() for s in SURNAMES] + [s.lower().replace("'", "’") for s in SURNAMES if "'" in s],
     "t": ["my name is", "mein name ist", "me llamo", "mr.", "mrs.", "ms.", "miss ", "dr.", "prof.", "herr ", "frau ", "señor"],
     "e": ["@", "＠", "(at)", "[at]", " at "],
     "i": ["social", "ssn", "passport", "reisepass", "pasaporte", "insurance", "nino", "ni number", "licence", "license", "führerschein", "national id", "id card", "identity", "ausweis", "dni", "nie", "tax ", "steuer", "vat ", "tin", "nif", "sin", "aadhaar", "bsn"],
     "a": [" street", " st", " road", " rd", " ave", " lane", " ln", " court", " ct", " crescent", " boulevard", " blvd", " drive", " terrace", " square", " close", "straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "box ", "postfach ", "apartado "],
     "p": ["name", "from", "to:", "to=", "cc", "by", "author", "sender", "recipient", "attendee", "signed", "nombre", "von", "an:", "an=", "de:", "de=", "para", "sister", "brother", "mother", "father", "mum", "mom", "dad", "son", "daughter", "wife", "husband", "partner", "aunt", "uncle", "cousin", "friend", "colleague", "boss", "manager", "landl", "neighbo", "tenant", "customer", "client", "patient", "employee", "teacher", "doctor", "nurse", "plumber", "lawyer", "schwester", "bruder", "kund", "nachbar", "vermieter", "herman", "vecin", "casero", "regards", "wishes", "sincerely", "cheers", "yours", "gruß", "grüße", "saludos", "atentamente", "ask", "contact", "met ", "told ", "reach ", "dear ", "hi ", "hello ", "hallo ", "hola ", "querid", "liebe", "geht an ", " for ", " with ", " to "],
     "d": [" lives", " lived", " texted", " phoned", " emailed", " was born", " born", " married", " told", " replied", " is my", " is our", " wohnt", " vive", ", our ", ", my ", ", his ", ", her ", ", their ", ", aged ", ", unser", ", mein", ", mi ", ", nuestr", "<", "("],
-    "g": [w.lower() for w in FEMALE + MALE],
+    "y": ["my name is", "mein name ist", "me llamo"],
     "s": [f"{w}{s}" for w in (*DIGIT_WORDS, "oh") for s in (" ", "-", ", ")],
 }
 _GROUPS = {c: 1 << i for i, c in enumerate(_TRIGGERS)}
@@ -144,20 +168,94 @@ _DIGITS = re.compile(r"\d\d")
 _LONG_NUMBER = re.compile(r"(?:\d[ .\-/()– ]{0,3}){7}")
 
 
+GIVEN, LAST = 1, 2  # the roles of a word in names
+
+
+def _plain(word: str) -> str:
+    return word.lower().replace("’", "'")
+
+
+class Lexicon:
+    """Words known to be given names or surnames, and one automaton for them and the triggers of the patterns."""
+
+    def __init__(self, learned: dict[str, int] | None = None):
+        self.roles = {_plain(w): GIVEN for w in FEMALE + MALE}
+        for w in SURNAMES:
+            self.roles[_plain(w)] = self.roles.get(_plain(w), 0) | LAST
+        for w, role in (learned or {}).items():
+            self.roles[w] = self.roles.get(w, 0) | role
+        words: dict[str, list[int]] = {}
+        for c, ws in _TRIGGERS.items():
+            for w in ws:
+                words.setdefault(w, [0, 0])[0] |= _GROUPS[c]
+        for w, role in self.roles.items():
+            words.setdefault(w, [0, 0])[1] = role
+        self.automaton = ahocorasick.Automaton()
+        for w, (bits, role) in words.items():
+            self.automaton.add_word(w, (bits, role, len(w)))
+        self.automaton.make_automaton()
+
+    def is_given(self, word: str) -> bool:
+        return bool(self.roles.get(_plain(word), 0) & GIVEN)
+
+    def read(self, text: str) -> tuple[int, list[tuple[int, int, int]]]:
+        """The groups of patterns to run on a text, and its words that are in the lexicon: (start, end, role)."""
+        low = text.lower().replace("’", "'")
+        if len(low) != len(text):  # some capitals have longer small forms
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text).replace("’", "'")
+        seen, words = 0, []
+        for last, (bits, role, size) in self.automaton.iter(low):
+            seen |= bits
+            if role:
+                a, b = last + 1 - size, last + 1
+                if (a == 0 or not (low[a - 1].isalnum() or low[a - 1] in "_'-")) and (b == len(low) or not (low[b].isalnum() or low[b] == "_" or low[b] in "'-" and low[b + 1 : b + 2].isalpha() and low[b : b + 3].rstrip() != "'s")):
+                    words.append((a, b, role))
+        return seen, words
+
+
 @lru_cache(1)
-def _automaton():
-    words: dict[str, int] = {}
-    for c, ws in _TRIGGERS.items():
-        for w in ws:
-            words[w] = words.get(w, 0) | _GROUPS[c]
-    a = ahocorasick.Automaton()
-    for w, bits in words.items():
-        a.add_word(w, bits)
-    a.make_automaton()
-    return a
-
-
-def find_pii(text: str | None) -> list[tuple[int, int, str]]:
+def _common() -> Lexicon:
+    return Lexicon()
+
+
+def _known_names(text: str, words: list[tuple[int, int, int]], lexicon: Lexicon) -> Iterator[tuple[int, int]]:
+    """Names with a word of the lexicon: given names or initials before a surname, a given name after one and a comma, any
+    capitalised word after a given name."""
+    for a, b, role in words:
+        if role & LAST:
+            start = a
+            left = _LEFT.search(text, max(0, a - 60), a)
+            for m in reversed(list(_WORD.finditer(left[0])) if left else []):
+                w = m[0]
+                if w.endswith(".") and len(w) == 2 or lexicon.is_given(w):
+                    start = left.start() + m.start()
+                elif w.lower() not in _PARTICLES or start != a:
+                    break
+            if start < a:
+                yield start, b
+                continue
+            after = _COMMA.match(text, b)
+            if after and lexicon.is_given(after[1]):
+                more = after[0][after.end(1) - b :].strip()
+                yield a, after.end() if more.endswith(".") or lexicon.is_given(more) else after.end(1)
+                continue
+        if role & GIVEN and text[a].isupper():
+            end, m = b, _AFTER.match(text, b)
+            while m and (m[2] or lexicon.is_given(m[3])):
+                end, m = m.end(), _AFTER.match(text, m.end())
+            if m and m[3] and m[3][0].isupper() and len(m[3]) > 1:
+                last = re.match(_CAP, m[3])
+                yield _person(text, a, m.start(3) + last.end()) if last else (a, a)
+            elif end > b and not text[:end].endswith("."):
+                yield _person(text, a, end)
+
+
+def _valid_iban(value: str) -> bool:
+    v = value.replace(" ", "")
+    return 15 <= len(v) <= 34 and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def find_pii(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int, int, str]]:
     """The personal items of a text as (start, end, type), in order and without overlap; offsets count characters.
 
     Types: name, email, phone, id_number, address. None and the empty text have none. Where candidates overlap,
@@ -165,9 +263,8 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     """
     if not text:
         return []
-    seen = 0
-    for _, bits in _automaton().iter(text.lower()):
-        seen |= bits
+    lexicon = lexicon or _common()
+    seen, words = lexicon.read(text)
     taken: list[tuple[int, int, str]] = []
 
     def take(start: int, end: int, kind: str) -> None:
@@ -180,6 +277,10 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
             tld = _TLD.search(m[0][:end])
             if tld and (tld[1].lower() in TLDS or "at" not in m[0].lower()[: m[0].lower().find(tld[0].lower())] or "@" in m[0]):
                 take(m.start(), m.start() + end, "email")
+    if _LONG_CODE.search(text):
+        for m in IBAN.finditer(text):
+            if _valid_iban(m[0]):
+                take(m.start(), m.end(), "id_number")
     if seen & _GROUPS["i"]:
         for m in IDENTITY.finditer(text):
             take(m.start(1), m.end(1), "id_number")
@@ -194,15 +295,21 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     if seen & _GROUPS["s"]:
         for m in SPOKEN.finditer(text):
             take(m.start(), m.end(), "phone")
-    if seen & _GROUPS["n"]:
-        for m in NAME.finditer(text):
-            take(m.start(), m.end(), "name")
+    for start, end in _known_names(text, words, lexicon) if words else ():
+        take(start, end, "name")
+    if seen & _GROUPS["y"]:
+        for m in SAID.finditer(text):  # in small letters only with a word that is known
+            parts = m[1].split(" ")
+            while len(parts) > 2 and parts[-1].lower() in NOT_NAMES:
+                parts.pop()
+            if any(_plain(w) in lexicon.roles for w in parts) and not any(w.lower() in NOT_NAMES for w in parts):
+                take(m.start(1), m.start(1) + len(" ".join(parts)), "name")
     if seen & _GROUPS["t"]:
         for m in TITLED.finditer(text):
             after = re.match(rf"[ ](?:{'|'.join(ORG_WORDS)})\b", text[m.end() : m.end() + 14])
             if not after and m[1].split()[-1] not in ORG_WORDS:
                 take(m.start(1), m.end(1), "name")
-    for group, pattern in (("p", INTRODUCED), ("d", DESCRIBED), ("g", GIVEN)):
+    for group, pattern in (("p", INTRODUCED), ("d", DESCRIBED)):
         if seen & _GROUPS[group]:
             for m in pattern.finditer(text):
                 take(*_person(text, *m.span(pattern.groups)), "name")
@@ -212,7 +319,8 @@ def find_pii(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
-_INITIAL = re.compile(r"(?<![^\W_])[A-Z]\. ?[A-ZÀ-Þ]")
+_LONG_CODE = re.compile(r"[A-Z]{2}\d\d ?[A-Z0-9]{4}")
+_INITIAL = re.compile(rf"(?<![^\W_]){_UP}\. ?{_UP}")
 _NEXT = re.compile(r"[ \t ]([^\W\d_]+)")
 
 
@@ -254,8 +362,9 @@ class Surrogates:
                 self.names[w.lower()] = to
                 self.names.setdefault(_fold(w), _fold(to))
         self.known = {_fold(w) for w in FEMALE + MALE + SURNAMES}
+        self.of = lru_cache(65_536)(self._surrogate)
 
-    def of(self, kind: str, value: str) -> str:
+    def _surrogate(self, kind: str, value: str) -> str:
         out = self._of(kind, value)
         # where nothing can take another value, a keyed token stands for it
         return out if out != value else hmac.new(self.key, value.encode("utf-8", "surrogatepass"), hashlib.sha256).hexdigest()[:16]
@@ -278,11 +387,11 @@ class Surrogates:
             w = m[0]
             if w.lower() in fixed:
                 return w
-            to = self.names.get(w.lower().replace("’", "'"))
+            to = self.names.get(_plain(w))
             if to is None:
                 return self._format(w, letters=True)
             to = _fold(to) if plain else to
-            return to.upper() if w.isupper() and len(w) > 1 else to.lower() if w.islower() else to.capitalize() if plain else to
+            return to.upper() if w.isupper() and len(w) > 1 else to.lower() if w.islower() else to[:1].upper() + to[1:]
 
         return re.sub(r"[^\W\d_]+|\d+" if plain else r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+", one, value)
 
@@ -292,23 +401,29 @@ class Surrogates:
         return re.sub(r"[A-Za-z]+", lambda m: DIGIT_WORDS[int(next(digits))], value)
 
     def _format(self, value: str, letters: bool) -> str:
-        alphabets = [a if (a := _alphabet(c)) and (letters or c.isdigit()) else c for c in value]
+        """Letter by letter and digit by digit of the same class. Accents stay where they are, so that a name and its plain form in an
+        e-mail address agree; so does a vowel at the end of a word, which often tells the gender."""
+        apart = [_base(c) if letters else c for c in value]
+        chars = [c[0] for c in apart]
+        alphabets = [a if (a := _alphabet(c)) and (letters or c.isdigit()) else c for c in chars]
+        if letters and len(chars) > 2 and alphabets[-1] in (_VOWELS, _VOWELS.upper()):
+            alphabets[-1] = chars[-1]
         size = 1
         for a in alphabets:
             size *= len(a)
         if size < 2:
             return value
         n = 0
-        for c, a in zip(value, alphabets):
+        for c, a in zip(chars, alphabets):
             n = n * len(a) + a.index(c)
-        form = "".join(a[0] for a in alphabets).encode("utf-8", "surrogatepass")
+        form = "".join(a[0] for a in alphabets).lower().encode("utf-8", "surrogatepass")
         while True:
             n = out = self._permute((self._permute(n, size, form) + 1) % size, size, form, back=True)  # a single cycle: no value stays
-            chars = []
+            made = []
             for a in reversed(alphabets):
                 out, k = divmod(out, len(a))
-                chars.append(a[k])
-            text = "".join(reversed(chars))
+                made.append(a[k])
+            text = "".join(unicodedata.normalize("NFC", c + a[1:]) if a[1:] else c for c, a in zip(reversed(made), apart))
             if text == value or _fold(text) not in self.known:  # walks on within the cycle
                 return text
 
@@ -343,6 +458,13 @@ def _alphabet(c: str) -> str:
     return "" if c.isascii() else _other_alphabet(c)
 
 
+@lru_cache(65_536)
+def _base(c: str) -> str:
+    """A Latin letter apart from its accents; any other character as it is."""
+    apart = unicodedata.normalize("NFD", c)
+    return apart if apart[0].isascii() and unicodedata.normalize("NFC", apart) == c else c
+
+
 @lru_cache(65_536)
 def _other_alphabet(c: str) -> str:
     """The ten digits of the same script; the letters of the same script, class and case among the 256 characters around."""
@@ -361,41 +483,94 @@ def _fold(w: str) -> str:
     return re.sub(r"[^a-z0-9]", "", w)
 
 
-def redact(text: str | None, surrogates: Surrogates) -> str | None:
+def surrogate_items(text: str | None, surrogates: Surrogates, lexicon: Lexicon | None = None) -> list[tuple[int, int, str, str]]:
+    """The personal items of a text as (start, end, type, surrogate)."""
+    return [(s, e, kind, surrogates.of(kind, text[s:e])) for s, e, kind in find_pii(text, lexicon)]
+
+
+def redact(text: str | None, surrogates: Surrogates, lexicon: Lexicon | None = None) -> str | None:
     """The text with each item as ``<TYPE:surrogate>``; all other text unchanged; None stays None."""
-    found = find_pii(text)
+    found = surrogate_items(text, surrogates, lexicon)
     if not found:
         return text
     out, at = [], 0
-    for s, e, kind in found:
-        out += [text[at:s], f"<{kind.upper()}:{surrogates.of(kind, text[s:e])}>"]
+    for s, e, kind, other in found:
+        out += [text[at:s], f"<{kind.upper()}:{other}>"]
         at = e
     return "".join([*out, text[at:]])
 
 
-def pii_items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The personal items in ``text_col``: (rec_id, pii_type, start_pos, end_pos), one row each.
+def name_words(texts: list[str | None]) -> dict[str, list[int]]:
+    """Of each capitalised word that occurs in a name of two words or more: how often as a given name, as a surname and at all."""
+    given, last, seen = Counter(), Counter(), Counter()
+    for t in texts:
+        if not t:
+            continue
+        seen.update(map(_plain, CAPITALISED.findall(t)))
+        for s, e, kind in find_pii(t):
+            if kind != "name":
+                continue
+            name = t[s:e]
+            parts = [_plain(w) for w in re.split(r"[ \t ,]+", name) if len(w) > 1 and not w.endswith(".") and w.lower() not in _PARTICLES]
+            if "," in name:
+                parts = parts[1:] + parts[:1]
+            if parts and len(re.split(r"[ \t ]+", name)) > 1:
+                last[parts[-1].removesuffix("'s")] += 1
+                given.update(parts[:-1])
+    return {w: [given[w], last[w], seen[w]] for w in given.keys() | last.keys()} | {w: [0, 0, n] for w, n in seen.items() if w not in given and w not in last}
+
+
+def learn(df: DataFrame, text_col: str, least: int = 3, share: float = 0.25, rare: float = 1e-6) -> dict[str, int]:
+    """The lexicon of a corpus: words with their roles in names, from the names that stand where names do.
+
+    A word has a role if it was found in it ``least`` times, in the part ``share`` of all places where it stands with a capital and in the
+    part ``rare`` of all words of names, which bounds the lexicon to 1 / ``rare`` words whatever the corpus. Counts cover all texts.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = name_words(b.column(0).to_pylist())
+            counts = list(zip(*found.values())) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=["word", "given", "last", "seen"])
+
+    texts = df.select(F.col(text_col).alias("text")).where("text <> ''")
+    words = texts.mapInArrow(run, "word string, given bigint, last bigint, seen bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("given", "last", "seen")])
+    named = shared_checkpoint(words.where(F.greatest("given", "last") >= least))
+    least = max(least, rare * (named.agg(F.sum(F.col("given") + F.col("last"))).first()[0] or 0))
+    enough = lambda c: ((F.col(c) >= least) & (F.col(c) >= share * F.col("seen"))).cast("int")
+    rows = named.select("word", (enough("given") * GIVEN + enough("last") * LAST).alias("role")).where("role > 0").collect()
+    return {r["word"]: r["role"] for r in rows if r["word"] not in NOT_NAMES}
+
+
+def pii_items(df: DataFrame, id_col: str, text_col: str, key: str, learned: dict[str, int] | None = None) -> DataFrame:
+    """The personal items in ``text_col`` and their surrogates: (rec_id, pii_type, start_pos, end_pos, surrogate), one row each, as
+    ``redacted`` replaces them.
 
     A record delivered again gives no second row; null and empty texts and texts without items give none; a null id
     stays null; other columns are ignored.
     """
-    schema = pa.schema([("rec_id", pa.string()), ("pii_type", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())])
+    schema = pa.schema([("rec_id", pa.string()), ("pii_type", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("surrogate", pa.string())])
+    shared = df.sparkSession.sparkContext.broadcast(learned or {})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, made = Lexicon(shared.value), Surrogates(key.encode())
         for b in batches:
-            rows = [(i, k, s, e) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, e, k in find_pii(t)]
-            cols = zip(*rows) if rows else [[]] * 4
+            rows = [(i, k, s, e, x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for s, e, k, x in surrogate_items(t, made, known)]
+            cols = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     src = df.select(df[id_col].cast("string").alias("rec_id"), df[text_col].alias("text")).where("text <> ''")
-    return src.mapInArrow(run, "rec_id string, pii_type string, start_pos bigint, end_pos bigint").distinct()
+    return src.mapInArrow(run, "rec_id string, pii_type string, start_pos bigint, end_pos bigint, surrogate string").distinct()
 
 
-def redacted(df: DataFrame, text_col: str, key: str) -> DataFrame:
+def redacted(df: DataFrame, text_col: str, key: str, learned: dict[str, int] | None = None) -> DataFrame:
     """``df`` with ``text_col`` redacted; all rows and other columns stay as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(learned or {})
+
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        s = Surrogates(key.encode())
-        return texts.map(lambda t: redact(t, s), na_action="ignore")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known, made = Lexicon(shared.value), Surrogates(key.encode())
+        for texts in parts:
+            yield texts.map(lambda t: redact(t, made, known), na_action="ignore")
 
     return df.withColumn(text_col, clean(df[text_col]))

@@ -9,13 +9,12 @@ from recollect.llm.clusters import similarity_clusters
 from recollect.llm.leaks import leaked_items
 from recollect.llm.neighbours import nearest
 from recollect.llm.packing import pack, token_counts
-from recollect.llm.pii import pii_items, redacted
+from recollect.llm.pii import learn, pii_items, redacted
 from recollect.llm.splitting import pieces
 from recollect.llm.subjects import subject_areas
 from recollect.sources.tables import table, user_key
 
 SIMILAR = 0.85
-KEY = "change-me"
 
 
 def _contents(spark: SparkSession, d: str) -> DataFrame:
@@ -24,14 +23,21 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
     return e.unionByName(t)
 
 
+def _key(spark: SparkSession) -> str:
+    """The key of the surrogates; a deployment sets its own."""
+    return spark.conf.get("spark.recollect.surrogate.key", "tests")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    e = pii_items(table(spark, d, "episodes"), "id", "content").withColumn("src", F.lit("episodes"))
-    t = pii_items(table(spark, d, "turns"), "turn_id", "content").withColumn("src", F.lit("turns"))
+    learned = learn(_contents(spark, d), "content")
+    e = pii_items(table(spark, d, "episodes"), "id", "content", _key(spark), learned).withColumn("src", F.lit("episodes"))
+    t = pii_items(table(spark, d, "turns"), "turn_id", "content", _key(spark), learned).withColumn("src", F.lit("turns"))
     return e.unionByName(t).select("src", "rec_id", "pii_type", "start_pos")
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redacted(_contents(spark, d), "content", KEY)
+    texts = _contents(spark, d)
+    return redacted(texts, "content", _key(spark), learn(texts, "content"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
