@@ -502,11 +502,11 @@ def redact(text: str | None, surrogates: Surrogates, lexicon: Lexicon | None = N
 
 def name_words(texts: list[str | None]) -> dict[str, list[int]]:
     """Of each capitalised word that occurs in a name of two words or more: how often as a given name, as a surname and at all."""
-    given, last, seen = Counter(), Counter(), Counter()
+    given, last, raw, seen = Counter(), Counter(), Counter(), Counter()
     for t in texts:
         if not t:
             continue
-        seen.update(map(_plain, CAPITALISED.findall(t)))
+        raw.update(CAPITALISED.findall(t))
         for s, e, kind in find_pii(t):
             if kind != "name":
                 continue
@@ -517,6 +517,8 @@ def name_words(texts: list[str | None]) -> dict[str, list[int]]:
             if parts and len(re.split(r"[ \t ]+", name)) > 1:
                 last[parts[-1].removesuffix("'s")] += 1
                 given.update(parts[:-1])
+    for w, n in raw.items():
+        seen[_plain(w)] += n
     return {w: [given[w], last[w], seen[w]] for w in given.keys() | last.keys()} | {w: [0, 0, n] for w, n in seen.items() if w not in given and w not in last}
 
 
