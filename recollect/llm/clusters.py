@@ -1,26 +1,35 @@
 """Clusters of mutually similar vectors: cluster-feature trees, Ward agglomeration of their leaves, one assignment pass.
 
 A cluster feature (CF) holds the number and the sum of unit vectors. Two of them give the mean similarity of all pairs between
-them, (sum . sum) / (n n), so features are merged without their members. Each task builds a CF tree of its rows; the
-leaf features of a large group's tasks are united, again by CF trees, in lists around coarse centroids; Ward
-agglomeration joins leaves where the mean similarity between them reaches the limit; then all rows are assigned to the nearest centroid in one pass.
+them, (sum . sum) / (n n), so features are merged without their members.
+
+A group of up to GROUP_ROWS rows is clustered in one task. Of a larger one, each task that reads rows builds a CF tree of its own; the
+leaf features are united, again by CF trees, in lists around coarse centroids, in blocks first where a list has many; Ward
+agglomeration joins the leaves of a list where the mean similarity between them reaches the limit; then one pass
+assigns every row, in its nearest list, to the nearest of the centroids around. Last, the rows of a centroid are split exactly so that
+any two of a cluster are similar; where they are many, block by block.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm.neighbours import MAX_LISTS, TRAIN_ROWS, _train, usable
+from recollect.functions import vectors as vx
+from recollect.llm.neighbours import PER_LIST, coarse_sets, lists_of, routes, usable
 from recollect.session import shared_checkpoint
 
-GROUP_ROWS = 65_536
-MAX_LEAVES = 131_072
+GROUP_ROWS = 8_192
+BUFFER_ROWS = 16_384
+MAX_LEAVES = 32_768
+CLUSTER_ROWS = 16_384
+PROBES = 4
 BRANCH = 96
 TILE = 1_024
 
@@ -291,7 +300,10 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return x[at[order]], n[order].astype(float), rank[back.reshape(-1)]
 
 
-def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, least: float = 0.85, smallest: int = 3, dim: int = 64, group_rows: int = GROUP_ROWS, max_leaves: int = MAX_LEAVES) -> DataFrame:
+def similarity_clusters(
+    df: DataFrame, group: str, id_col: str, vector: str, least: float = 0.85, smallest: int = 3, dim: int = 64,
+    group_rows: int = GROUP_ROWS, max_leaves: int = MAX_LEAVES, per_list: int = PER_LIST, cluster_rows: int = CLUSTER_ROWS,
+) -> DataFrame:
     """Members of each cluster: (group, cluster_id, id, similarity, size).
 
     A cluster is a set of at least ``smallest`` ids of one group any two of which have cosine ``least`` or more;
@@ -300,7 +312,8 @@ def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, lea
     - Rows with a null group or id or an unusable vector (null, another length, not finite, all zero) are in no cluster;
       an id that occurs again in its group counts once; equal vectors are clustered once and all their ids are members.
     - Groups of more than ``group_rows`` rows are summarised in several tasks and united by their features. A list of more than
-      ``max_leaves`` features is first compared in pairs of blocks, to drop those that can be in no cluster.
+      ``max_leaves`` features is first compared in pairs of blocks, to drop those that can be in no cluster; a centroid with more than
+      ``cluster_rows`` rows has them compared in pairs of blocks.
     """
     src = df.select(F.col(group).cast("string").alias("_user"), F.col(id_col).cast("string").alias("_id"), F.col(vector).cast("array<float>").alias("_v"))
     src = src.where(F.col("_user").isNotNull() & F.col("_id").isNotNull() & (F.size("_v") == dim))
@@ -315,93 +328,195 @@ def similarity_clusters(df: DataFrame, group: str, id_col: str, vector: str, lea
         label, _ = assign(once, total, least)
         return _table(table["_user"][0].as_py(), _members(ids, x, label[back], least, smallest))
 
-    groups = large.count()
-    if not groups:
+    found = large.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    if not found["groups"]:
         return src.groupBy("_user").applyInArrow(whole, _OUT).withColumnRenamed("_user", group)
-    hint = F.broadcast if groups <= 20_000 else (lambda x: x)
+    hint = F.broadcast if found["groups"] <= 20_000 else (lambda x: x)
     small = src.join(hint(large.select("_user")), "_user", "left_anti").groupBy("_user").applyInArrow(whole, _OUT)
-    return small.unionByName(_large(src.join(hint(large), "_user"), least, smallest, dim, group_rows, max_leaves)).withColumnRenamed("_user", group)
+    big = src.join(hint(large), "_user").select("_user", "_id", "_v", "_n")
+    sets = coarse_sets(big, found["rows"], found["most"], dim, per_list)
+    return small.unionByName(_large(big, sets, least, smallest, dim, max_leaves, per_list, cluster_rows)).withColumnRenamed("_user", group)
 
 
-def _large(big: DataFrame, least: float, smallest: int, dim: int, group_rows: int, max_leaves: int) -> DataFrame:
-    big = big.withColumn("_parts", F.ceil(F.col("_n") / group_rows).cast("int"))
-    big = big.withColumn("_part", F.pmod(F.xxhash64("_id"), F.col("_parts")).cast("int"))
-    feature = pa.schema([("_user", pa.string()), ("_part", pa.int32()), ("_parts", pa.int32()), ("_w", pa.float64()), ("_s", pa.list_(pa.float64())), ("_f", pa.int64())])
-    shape = "_user string, _part int, _parts int, _w double, _s array<double>, _f bigint"
+_FEATURE = "_user string, _n bigint, _list int, _f bigint, _w double, _s array<double>"
+_FEATURE_SCHEMA = pa.schema([("_user", pa.string()), ("_n", pa.int64()), ("_list", pa.int32()), ("_f", pa.int64()), ("_w", pa.float64()), ("_s", pa.list_(pa.float64()))])
 
-    def pack(table: pa.Table, total: np.ndarray, n: np.ndarray) -> pa.Table:
-        k = len(n)
-        off = pa.array(np.arange(0, (k + 1) * dim, dim, dtype=np.int32)[: k + 1])
-        first = lambda c: table[c][0].as_py() if table.num_rows else None
-        return pa.table(
-            [pa.array([first("_user")] * k, pa.string()), pa.array([first("_part")] * k, pa.int32()), pa.array([first("_parts")] * k, pa.int32()), pa.array(n, pa.float64()), pa.ListArray.from_arrays(off, pa.array(total.reshape(-1), pa.float64())), pa.array((np.int64(first("_part") or 0) << 32) + np.arange(k))],
-            schema=feature,
-        )
 
-    def build(table: pa.Table) -> pa.Table:
-        once, n, _ = _distinct(_rows(table, dim)[1])
-        return pack(table, *leaves(once * n[:, None], n, least))
+def _sums(column, dim: int) -> np.ndarray:
+    col = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-    def unite(table: pa.Table) -> pa.Table:
-        return pack(table, *leaves(*_features(table, dim), least))
 
-    def finish(table: pa.Table) -> pa.Table:
-        """The clusters of one list's leaves; a list keeps those whose centroid is at home in it."""
-        total, n = centroids(*_features(table, dim), least, smallest)
-        home = (total @ coarse.T).argmax(1) == table["_part"][0].as_py() if table.num_rows else np.zeros(0, bool)
-        return pack(table, total[home], n[home])
+def _pack(user, n, lists, total: np.ndarray, w: np.ndarray) -> pa.Table:
+    """Rows of features; ``lists``: one list for all or of each."""
+    k, dim = len(w), total.shape[1] if total.ndim == 2 else 1
+    off = pa.array(np.arange(0, (k + 1) * dim, dim, dtype=np.int32)[: k + 1])
+    number = np.arange(k) + (np.int64(lists if np.isscalar(lists) else 0) << 32)
+    return pa.table(
+        [pa.array([user] * k, pa.string()), pa.array([n] * k, pa.int64()), pa.array(np.broadcast_to(lists, k).astype(np.int32)), pa.array(number), pa.array(w, pa.float64()), pa.ListArray.from_arrays(off, pa.array(total.reshape(-1), pa.float64()))],
+        schema=_FEATURE_SCHEMA,
+    )
+
+
+def _large(big: DataFrame, sets: dict[int, np.ndarray], least: float, smallest: int, dim: int, max_leaves: int, per_list: int, cluster_rows: int) -> DataFrame:
+    shared = big.sparkSession.sparkContext.broadcast(sets)
+    margin = 2 * math.sqrt(2 * (2 - 2 * least) / dim)
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leaves of the trees of a task's rows, one tree for each group and up to BUFFER_ROWS rows."""
+        held: dict[str, list] = {}
+
+        def flush(user: str) -> Iterator[pa.RecordBatch]:
+            n, _, xs = held.pop(user)
+            once, w, _ = _distinct(np.concatenate(xs))
+            yield from _pack(user, n, 0, *leaves(once * w[:, None], w, least)).to_batches()
 
-    def route(batches):
         for b in batches:
-            x = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            sim = (x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-12)) @ coarse.T
-            i, c = np.nonzero(sim >= sim.max(1, keepdims=True) - margin) if len(x) else (np.zeros(0, int),) * 2
+            ok, x = usable(b.column(1), dim)
+            b = b.filter(pa.array(ok))
+            users = b.column(0).dictionary_encode()
+            code = users.indices.to_numpy()
+            for u in np.unique(code):
+                at = np.flatnonzero(code == u)
+                user = users.dictionary[int(u)].as_py()
+                entry = held.setdefault(user, [b.column(2)[int(at[0])].as_py(), 0, []])
+                entry[1] += len(at)
+                entry[2].append(x[at])
+                if entry[1] >= BUFFER_ROWS:
+                    yield from flush(user)
+            while sum(e[1] for e in held.values()) >= 4 * BUFFER_ROWS:
+                yield from flush(max(held, key=lambda u: held[u][1]))
+        for user in list(held):
+            yield from flush(user)
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features in all lists near their centroids."""
+        for b in batches:
+            x = _sums(b.column(5), dim)
+            i, c, _ = routes(x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-12), b.column(1).to_numpy(), shared.value, per_list, PROBES, margin)
             part = b.take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.astype(np.int32)), *part.columns[2:]], schema=feature)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(c.astype(np.int32)), *part.columns[3:]], schema=_FEATURE_SCHEMA)
+
+    def first(table: pa.Table, c: str):
+        return table[c][0].as_py() if table.num_rows else None
+
+    def unite(table: pa.Table) -> pa.Table:
+        return _pack(first(table, "_user"), first(table, "_n"), first(table, "_list") or 0, *leaves(*_features(table, dim), least))
+
+    def homes(total: np.ndarray, n: int) -> np.ndarray:
+        unit = total / np.linalg.norm(total, axis=1, keepdims=True).clip(1e-12)
+        return (unit @ shared.value[lists_of(n, per_list)].T).argmax(1)
+
+    def agglomerate(table: pa.Table) -> pa.Table:
+        """The clusters of one list's leaves, each in the list its centroid is at home in; a number of more than 0 tells that it was not
+        found there."""
+        if not table.num_rows:
+            return _pack(None, None, 0, np.zeros((0, dim)), np.zeros(0))
+        own, n = first(table, "_list"), first(table, "_n")
+        total, w = centroids(*_features(table, dim), least, smallest)
+        at = homes(total, n) if len(total) else np.zeros(0, int)
+        out = _pack(first(table, "_user"), n, at, total, w)
+        return out.set_column(3, _FEATURE_SCHEMA.field(3), pa.array((at != own).astype(np.int64)))
+
+    def settle(table: pa.Table) -> pa.Table:
+        """A list's own clusters, and those of other lists that it has not found itself."""
+        if not table.num_rows:
+            return _pack(None, None, 0, np.zeros((0, dim)), np.zeros(0))
+        own = table["_f"].to_numpy() == 0
+        mine, w = _features(table.filter(pa.array(own)), dim)
+        theirs, v = _features(table.filter(pa.array(~own)), dim)
+        unit = lambda t: t / np.linalg.norm(t, axis=1, keepdims=True).clip(1e-12)
+        for i in np.argsort(-v, kind="stable"):
+            if not len(mine) or (unit(mine) @ unit(theirs[i : i + 1])[0]).max() < least:
+                mine, w = np.concatenate([mine, theirs[i : i + 1]]), np.append(w, v[i])
+        return _pack(first(table, "_user"), first(table, "_n"), first(table, "_list"), mine, w)
 
     def prune(table: pa.Table) -> pa.Table:
-        col = table["_s"].combine_chunks()
-        col = pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) else col
-        x = col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        keep = joinable(x, table["_w"].to_numpy(), table["_block"].to_numpy(), least, smallest)
-        return table.select(feature.names).filter(pa.array(keep)).cast(feature)
-
-    level = shared_checkpoint(big.select("_user", "_id", "_v", "_part", "_parts").groupBy("_user", "_part").applyInArrow(build, shape))
-    # near leaves of different tasks are united in lists around coarse centroids, each leaf in all lists within reach
-    most = big.agg(F.max("_n")).first()[0]
-    sample = big.sample(min(1.0, 1.2 * TRAIN_ROWS / most), 11).limit(TRAIN_ROWS).select("_v").toArrow()
-    coarse = _train(usable(sample["_v"], dim)[1], min(MAX_LISTS, max(2, -(-2 * most // group_rows)))) if sample.num_rows else np.eye(dim)[:1]
-    margin = 3.2 * np.sqrt(2 * (2 - 2 * least) / dim)
-    routed = level.mapInArrow(route, shape)
-    over = routed.groupBy("_user", "_part").agg(F.ceil(2 * F.count(F.lit(1)) / max_leaves).cast("int").alias("_blocks")).where("_blocks > 2")
+        keep = joinable(_sums(table["_s"], dim), table["_w"].to_numpy(), table["_block"].to_numpy(), least, smallest)
+        return table.select(_FEATURE_SCHEMA.names).filter(pa.array(keep)).cast(_FEATURE_SCHEMA)
+
+    level = big.select("_user", "_v", "_n").mapInArrow(build, _FEATURE)
+    level = level.withColumn("_f", F.monotonically_increasing_id())
+    # each feature in several lists, united in blocks first; then as many as are left are counted
+    routed = level.mapInArrow(spread, _FEATURE).withColumn("_block", F.pmod(F.xxhash64("_f"), F.lit(4)))
+    routed = routed.groupBy("_user", "_list", "_block").applyInArrow(unite, _FEATURE)
+    routed = shared_checkpoint(routed.withColumn("_f", F.monotonically_increasing_id()))
+    over = routed.groupBy("_user", "_list").agg(F.ceil(2 * F.count(F.lit(1)) / max_leaves).cast("int").alias("_blocks")).where("_blocks > 2")
     n_over = over.count()
     if n_over:
         hint = F.broadcast if n_over <= 20_000 else (lambda x: x)
-        split = routed.join(hint(over), ["_user", "_part"]).withColumn("_block", F.pmod(F.xxhash64("_f"), F.col("_blocks")).cast("int"))
+        split = routed.join(hint(over), ["_user", "_list"]).withColumn("_block", F.pmod(F.xxhash64("_f"), F.col("_blocks")).cast("int"))
         split = split.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         split = split.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other"))
-        split = split.select(*feature.names, "_block", "_lo", "_hi").groupBy("_user", "_part", "_lo", "_hi").applyInArrow(prune, shape)
-        kept = split.dropDuplicates(["_user", "_part", "_f"])
-        routed = routed.join(hint(over.select("_user", "_part")), ["_user", "_part"], "left_anti").select(*feature.names).unionByName(kept)
-    lists = routed.groupBy("_user", "_part").applyInArrow(unite, shape)
-    centre = lists.groupBy("_user", "_part").applyInArrow(finish, shape)
-    spread = centre.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    labelled = pa.schema([("_user", pa.string()), ("_id", pa.string()), ("_v", pa.list_(pa.float32())), ("_label", pa.int32())])
+        split = split.select(*_FEATURE_SCHEMA.names, "_block", "_lo", "_hi").groupBy("_user", "_list", "_lo", "_hi").applyInArrow(prune, _FEATURE)
+        kept = split.dropDuplicates(["_user", "_list", "_f"])
+        routed = routed.join(hint(over.select("_user", "_list")), ["_user", "_list"], "left_anti").select(*_FEATURE_SCHEMA.names).unionByName(kept)
+    found = routed.groupBy("_user", "_list").applyInArrow(agglomerate, _FEATURE).groupBy("_user", "_list").applyInArrow(settle, _FEATURE)
+    around = found.mapInArrow(spread, _FEATURE)
+    labelled = pa.schema([("_user", pa.string()), ("_id", pa.string()), ("_v", pa.list_(pa.float32())), ("_label", pa.int64())])
+
+    def home(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok, x = usable(b.column(2), dim)
+            b = b.filter(pa.array(ok))
+            i, c, _ = routes(x, b.column(3).to_numpy(), shared.value, per_list, 1, margin)
+            part = b.take(pa.array(i))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(c.astype(np.int32))], names=["_user", "_id", "_v", "_list"])
 
     def place(rows: pa.Table, centres: pa.Table) -> pa.Table:
         ok, x = usable(rows["_v"], dim)
         rows = rows.filter(pa.array(ok))
-        label, _ = assign(x, _features(centres, dim)[0], least) if centres.num_rows else (np.full(len(x), -1), None)
+        if centres.num_rows:
+            centres = centres.sort_by("_f")
+            label, _ = assign(x, _sums(centres["_s"], dim), least)
+            number = centres["_f"].to_numpy()[np.maximum(label, 0)]
+        else:
+            label = number = np.full(len(x), -1)
         keep = pa.array(label >= 0)
-        return pa.table([rows["_user"].filter(keep), rows["_id"].filter(keep), rows["_v"].filter(keep), pa.array(label[label >= 0].astype(np.int32))], schema=labelled)
+        return pa.table([rows["_user"].filter(keep), rows["_id"].filter(keep), rows["_v"].filter(keep), pa.array(number[label >= 0].astype(np.int64))], schema=labelled)
+
+    at_home = big.mapInArrow(home, "_user string, _id string, _v array<float>, _list int")
+    placed = at_home.groupBy("_user", "_list").cogroup(around.groupBy("_user", "_list")).applyInArrow(place, "_user string, _id string, _v array<float>, _label bigint")
+    return _split(shared_checkpoint(placed), least, smallest, dim, cluster_rows)
 
-    placed = (
-        big.select("_user", "_part", "_id", "_v").groupBy("_user", "_part").cogroup(spread.groupBy("_user", "_part"))
-        .applyInArrow(place, "_user string, _id string, _v array<float>, _label int")
-    )
+
+def _split(placed: DataFrame, least: float, smallest: int, dim: int, cluster_rows: int) -> DataFrame:
+    """The clusters among the rows of each centroid."""
 
     def members(table: pa.Table) -> pa.Table:
         ids, x = _rows(table, dim)
         return _table(table["_user"][0].as_py() if table.num_rows else None, _members(ids, x, np.zeros(len(ids), int), least, smallest))
 
-    return placed.groupBy("_user", "_label").applyInArrow(members, _OUT)
+    keys = ["_user", "_label"]
+    large = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > cluster_rows)
+    n_large = large.count()
+    if not n_large:
+        return placed.groupBy(*keys).applyInArrow(members, _OUT)
+    hint = F.broadcast if n_large <= 20_000 else (lambda x: x)
+    few = placed.join(hint(large.select(*keys)), keys, "left_anti").groupBy(*keys).applyInArrow(members, _OUT)
+
+    # of large ones, how many others each row is too far from, block by block; rows that are near all others need no further look
+    def below(table: pa.Table) -> pa.Table:
+        ids, x = _rows(table.filter(pa.array(table["_mine"].to_numpy(zero_copy_only=False))), dim)
+        _, y = _rows(table, dim)
+        n = np.concatenate([(x[lo : lo + TILE] @ y.T < least - 1e-9).sum(1) for lo in range(0, len(x), TILE)]) if len(x) else np.zeros(0, np.int64)
+        return pa.table({"_user": pa.repeat(table["_user"][0], len(ids)), "_label": pa.repeat(table["_label"][0], len(ids)), "_id": pa.array(ids, pa.string()), "_below": pa.array(n.astype(np.int64))})
+
+    def parts(table: pa.Table) -> pa.Table:
+        ids, x = _rows(table, dim)
+        return pa.table({"_user": pa.repeat(table["_user"][0], len(ids)), "_label": pa.repeat(table["_label"][0], len(ids)), "_id": pa.array(ids, pa.string()), "_part": pa.array(mutual(x, least).astype(np.int32))})
+
+    once = placed.join(hint(large), keys).dropDuplicates(["_user", "_label", "_id"])
+    once = once.withColumn("_blocks", F.ceil(F.col("_k") / cluster_rows).cast("int")).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int"))
+    cells = once.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    both = cells.select(*keys, F.col("_block").alias("_a"), F.col("_other").alias("_b"), F.lit(True).alias("_mine"), "_id", "_v")
+    both = both.unionByName(cells.where("_other <> _block").select(*keys, F.col("_other").alias("_a"), F.col("_block").alias("_b"), F.lit(False).alias("_mine"), "_id", "_v"))
+    far = both.groupBy(*keys, "_a", "_b").applyInArrow(below, "_user string, _label bigint, _id string, _below bigint")
+    far = far.groupBy(*keys, "_id").agg(F.sum("_below").alias("_below")).where("_below > 0")
+    odd = once.join(far, [*keys, "_id"]).select(*keys, "_id", "_v").groupBy(*keys).applyInArrow(parts, "_user string, _label bigint, _id string, _part int")
+    marked = once.select(*keys, "_id", "_v").join(odd, [*keys, "_id"], "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+    unit = marked.withColumn("_norm", vx.norm(F.col("_v"))).withColumn("_v", F.transform("_v", lambda x: x.cast("double") / F.col("_norm")))
+    whole = unit.groupBy(*keys, "_part").agg(F.min("_id").alias("cluster_id"), F.count(F.lit(1)).alias("size"), vx.mean("_v", dim).alias("_c")).where(F.col("size") >= smallest)
+    many = unit.join(whole, [*keys, "_part"]).select("_user", "cluster_id", F.col("_id").alias("id"), vx.cosine_similarity(F.col("_v"), F.col("_c")).alias("similarity"), "size")
+    return few.unionByName(many)

@@ -45,7 +45,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    near = nearest(_vectors(spark, d), "user_id", "id", "embedding", 5, SIMILAR)
+    near = nearest(_vectors(spark, d), "user_id", "id", "embedding", 5, SIMILAR, probes=4)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

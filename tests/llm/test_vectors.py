@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import clusters
+from recollect.llm import clusters, neighbours
 from recollect.llm.clusters import similarity_clusters
 from recollect.llm.neighbours import nearest
 
@@ -48,7 +48,7 @@ def test_nearest(spark, least, list_rows):
     for i, a in enumerate(ids):
         best = sorted((-round(s[i, j], 12), b) for j, b in enumerate(ids) if s[i, j] >= max(least, -1.5))[:5]
         want |= {(a, b) for _, b in best}
-    got = nearest(df, "user", "id", "vec", 5, least, DIM, list_rows).collect()
+    got = nearest(df, "user", "id", "vec", 5, least, DIM, list_rows, list_rows // 2).collect()
     pairs = {(x.id, x.neighbour) for x in got}
     assert len(pairs) == len(got)
     if list_rows > 1000:
@@ -58,12 +58,12 @@ def test_nearest(spark, least, list_rows):
     assert nearest(df.where("false"), "user", "id", "vec", 5, least, DIM).count() == 0
 
 
-@pytest.mark.parametrize("group_rows", [10_000, 25])
-def test_clusters(spark, group_rows):
+@pytest.mark.parametrize("group_rows,cluster_rows", [(10_000, 10_000), (25, 10_000), (25, 2)])
+def test_clusters(spark, group_rows, cluster_rows):
     rows, bad = data(3)
     rows += [("a", f"dup{i}", rows[0][2], 0.0) for i in range(4)]
     df = spark.createDataFrame(rows + rows[:9] + bad, SCHEMA)
-    got = similarity_clusters(df, "user", "id", "vec", 0.85, 3, DIM, group_rows).collect()
+    got = similarity_clusters(df, "user", "id", "vec", 0.85, 3, DIM, group_rows, per_list=12, cluster_rows=cluster_rows).collect()
     ids, s = similarities(rows)
     at = {i: k for k, i in enumerate(ids)}
     groups = {}
@@ -118,7 +118,7 @@ def test_clusters_of_lists_with_many_leaves(spark):
     rng = np.random.default_rng(11)
     v = np.concatenate([rng.standard_normal((40, DIM)).repeat(4, 0) + 0.12 * rng.standard_normal((160, DIM)), rng.standard_normal((200, DIM))])
     df = spark.createDataFrame([("a", f"{i:03d}", x.tolist()) for i, x in enumerate(v.astype(np.float32))], "user string, id string, vec array<float>")
-    whole, blocks = ({(x.cluster_id, x.id) for x in similarity_clusters(df, "user", "id", "vec", 0.85, 3, DIM, 100, m).collect()} for m in (10_000, 30))
+    whole, blocks = ({(x.cluster_id, x.id) for x in similarity_clusters(df, "user", "id", "vec", 0.85, 3, DIM, 100, m, 200).collect()} for m in (10_000, 30))
     assert len(whole) > 100 and blocks == whole
     x = v / np.linalg.norm(v, axis=1)[:, None]
     s = x @ x.T
@@ -127,11 +127,49 @@ def test_clusters_of_lists_with_many_leaves(spark):
     assert (keep == (s >= 0.85).any(1)).all() and keep.sum() < 300
 
 
-def test_nearest_without_limit_over_many_lists(spark):
-    """More than 8 lists: the nearest of unrelated vectors lie in any of them."""
-    x = np.random.default_rng(2).standard_normal((120, DIM)).astype(np.float32)
-    rows = [("a", f"{i:03d}", v.tolist(), 0.0) for i, v in enumerate(x)]
-    ids, s = similarities(rows)
-    want = {(a, b) for i, a in enumerate(ids) for _, b in sorted((-round(s[i, j], 12), b) for j, b in enumerate(ids) if j != i)[:5]}
-    got = nearest(spark.createDataFrame(rows, SCHEMA), "user", "id", "vec", 5, -1.0, DIM, 8).collect()
-    assert {(x.id, x.neighbour) for x in got} == want and len(got) == len(want)
+def many(n=12_000, dim=64, seed=4):
+    """Vectors as they occur: topics, groups of near copies within them, and rows on their own."""
+    rng = np.random.default_rng(seed)
+    topics = rng.standard_normal((25, dim))
+    heads = topics[rng.integers(0, 25, n // 5)] + 0.8 * rng.standard_normal((n // 5, dim))
+    x = heads[rng.integers(0, len(heads), n)] + np.where(rng.random(n) < 0.5, 0.3, 1.2)[:, None] * rng.standard_normal((n, dim))
+    return x.astype(np.float32)
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    x = many()
+    path = str(tmp_path_factory.mktemp("vectors") / "v.parquet")
+    df = spark.createDataFrame(pa.table({"user": ["a"] * len(x), "id": [f"{i:05d}" for i in range(len(x))], "vec": pa.array(x.tolist(), pa.list_(pa.float32()))}).to_pandas(), "user string, id string, vec array<float>")
+    df.repartition(6).write.parquet(path)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    return spark.read.parquet(path), u
+
+
+@pytest.mark.parametrize("least,probes", [(0.85, 4), (-1.0, 8)])
+def test_recall_over_lists(large, least, probes):
+    """A group of 12,000 rows in 16 lists: at least 0.95 of the exact neighbours, none wrong, each vector asked of few lists."""
+    df, u = large
+    want = set()
+    for lo in range(0, len(u), 2_000):
+        s = u[lo : lo + 2_000] @ u.T
+        s[np.arange(len(s)), lo + np.arange(len(s))] = -2
+        top = np.argpartition(-s, 5, axis=1)[:, :5]
+        want |= {(lo + i, int(j)) for i in range(len(s)) for j in top[i] if s[i, j] >= least}
+    got = {(int(x.id), int(x.neighbour)) for x in nearest(df, "user", "id", "vec", 5, least, 64, 1_000, 800, probes).collect()}
+    assert len(got & want) >= 0.95 * len(want) > 1000 and len(got - want) <= 0.05 * len(got)
+
+
+def test_most_candidates_are_abandoned_early(large):
+    u = large[1]
+    for least in (0.85, -1.0):
+        neighbours.counted.update(pairs=0, abandoned=0)
+        neighbours.scan(u[:400], u, np.arange(400), 5, least)
+        assert neighbours.counted["abandoned"] > neighbours.counted["pairs"] / 2
+
+
+def test_clusters_over_lists(large):
+    """The same clusters from one task as from many."""
+    df, _ = large
+    got = [{(x.cluster_id, x.id) for x in similarity_clusters(df, "user", "id", "vec", group_rows=g, per_list=800, cluster_rows=c).collect()} for g, c in ((100_000, 100_000), (1_000, 100_000), (1_000, 10))]
+    assert len(got[0]) > 1000 and all(len(g & got[0]) >= 0.95 * len(got[0]) and len(g & got[0]) >= 0.95 * len(g) for g in got[1:])
