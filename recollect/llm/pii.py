@@ -155,14 +155,23 @@ ADDRESS = re.compile(
 _TRIGGERS = {
     "t": ["my name is", "mein name ist", "me llamo", "mr.", "mrs.", "ms.", "miss ", "dr.", "prof.", "herr ", "frau ", "señor"],
     "e": ["@", "＠", "(at)", "[at]", " at "],
-    "i": ["social", "ssn", "passport", "reisepass", "pasaporte", "insurance", "nino", "ni number", "licence", "license", "führerschein", "national id", "id card", "identity", "ausweis", "dni", "nie", "tax ", "steuer", "vat ", "tin", "nif", "sin", "aadhaar", "bsn"],
+    "i": ["social security", "my social", "ssn", "passport", "reisepass", "pasaporte", "national insurance", "nino", "ni number", "driver", "driving licen", "führerschein", "national id", "id card", "identity", "personalausweis", "ausweis", "dni", "nie", "tax ", "steuer", "vat ", "tin", "nif", "sin", "aadhaar", "bsn"],
     "a": [" street", " st", " road", " rd", " ave", " lane", " ln", " court", " ct", " crescent", " boulevard", " blvd", " drive", " terrace", " square", " close", "straße ", "strasse ", "str. ", "weg ", "gasse ", "allee ", "platz ", "calle ", "c/ ", "avenida ", "avda", "plaza ", "paseo ", "box ", "postfach ", "apartado "],
-    "p": ["name", "from", "to:", "to=", "cc", "by", "author", "sender", "recipient", "attendee", "signed", "nombre", "von", "an:", "an=", "de:", "de=", "para", "sister", "brother", "mother", "father", "mum", "mom", "dad", "son", "daughter", "wife", "husband", "partner", "aunt", "uncle", "cousin", "friend", "colleague", "boss", "manager", "landl", "neighbo", "tenant", "customer", "client", "patient", "employee", "teacher", "doctor", "nurse", "plumber", "lawyer", "schwester", "bruder", "kund", "nachbar", "vermieter", "herman", "vecin", "casero", "regards", "wishes", "sincerely", "cheers", "yours", "gruß", "grüße", "saludos", "atentamente", "ask", "contact", "met ", "told ", "reach ", "dear ", "hi ", "hello ", "hallo ", "hola ", "querid", "liebe", "geht an ", " for ", " with ", " to "],
+    "p": [
+        *(w + x for w in ("name", "from", "to", "cc", "by", "author", "sender", "recipient", "attendee", "signed", "nombre", "von", "an", "de", "para") for x in (":", "=", " :", " =")),
+        "sister", "brother", "mother", "father", "mum", "mom", "dad", "son", "daughter", "wife", "husband", "partner", "aunt", "uncle", "cousin", "friend", "colleague", "boss", "manager", "landl",
+        "neighbo", "tenant", "customer", "client", "patient", "employee", "teacher", "doctor", "nurse", "plumber", "lawyer", "schwester", "bruder", "kund", "nachbar", "vermieter", "herman", "cliente", "vecin", "casero",
+        "regards", "wishes", "sincerely", "cheers", "yours", "gruß", "grüße", "saludos", "atentamente", "ask for", "asked for", "emergency contact", "contact", "met ", "told ", "reach ", "named ", "dear ", "hi ", "hello ",
+        "hallo ", "hola ", "querid", "liebe", "geht an ", "signed by ", *(f"{w} for " for w in ("booking", "reservation", "parcel", "package", "letter", "message", "invoice", "appointment")),
+        "lunch ", "dinner ", "coffee ", "breakfast ", "spoke ", "talked ", "speak ", "talk ", "meeting ", "chatted ",
+    ],
     "d": [" lives", " lived", " texted", " phoned", " emailed", " was born", " born", " married", " told", " replied", " is my", " is our", " wohnt", " vive", ", our ", ", my ", ", his ", ", her ", ", their ", ", aged ", ", unser", ", mein", ", mi ", ", nuestr", "<", "("],
     "y": ["my name is", "mein name ist", "me llamo"],
     "s": [f"{w}{s}" for w in (*DIGIT_WORDS, "oh") for s in (" ", "-", ", ")],
 }
 _GROUPS = {c: 1 << i for i, c in enumerate(_TRIGGERS)}
+#: Groups whose patterns begin with the trigger, so that they are tried there only.
+_AT = _GROUPS["i"] | _GROUPS["t"] | _GROUPS["p"] | _GROUPS["y"]
 _NO_NAME_AFTER = set(ORG_WORDS) | {w.capitalize() for w in _STREET.split("|")}
 _DIGITS = re.compile(r"\d\d")
 _LONG_NUMBER = re.compile(r"(?:\d[ .\-/()– ]{0,3}){7}")
@@ -198,19 +207,22 @@ class Lexicon:
     def is_given(self, word: str) -> bool:
         return bool(self.roles.get(_plain(word), 0) & GIVEN)
 
-    def read(self, text: str) -> tuple[int, list[tuple[int, int, int]]]:
-        """The groups of patterns to run on a text, and its words that are in the lexicon: (start, end, role)."""
+    def read(self, text: str) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int]]]:
+        """The groups of patterns to run on a text, where the triggers of some begin, and its words that are in the lexicon: (start, end,
+        role)."""
         low = text.lower().replace("’", "'")
         if len(low) != len(text):  # some capitals have longer small forms
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text).replace("’", "'")
-        seen, words = 0, []
+        seen, starts, words = 0, [], []
         for last, (bits, role, size) in self.automaton.iter(low):
             seen |= bits
+            if bits & _AT:
+                starts.append((last + 1 - size, bits))
             if role:
                 a, b = last + 1 - size, last + 1
                 if (a == 0 or not (low[a - 1].isalnum() or low[a - 1] in "_'-")) and (b == len(low) or not (low[b].isalnum() or low[b] == "_" or low[b] in "'-" and low[b + 1 : b + 2].isalpha() and low[b : b + 3].rstrip() != "'s")):
                     words.append((a, b, role))
-        return seen, words
+        return seen, starts, words
 
 
 @lru_cache(1)
@@ -264,7 +276,8 @@ def find_pii(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int
     if not text:
         return []
     lexicon = lexicon or _common()
-    seen, words = lexicon.read(text)
+    seen, starts, words = lexicon.read(text)
+    tried = lambda group, pattern: [m for a, bits in starts if bits & _GROUPS[group] and (m := pattern.match(text, a))]
     taken: list[tuple[int, int, str]] = []
 
     def take(start: int, end: int, kind: str) -> None:
@@ -277,14 +290,15 @@ def find_pii(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int
             tld = _TLD.search(m[0][:end])
             if tld and (tld[1].lower() in TLDS or "at" not in m[0].lower()[: m[0].lower().find(tld[0].lower())] or "@" in m[0]):
                 take(m.start(), m.start() + end, "email")
-    if _LONG_CODE.search(text):
+    digits = _DIGITS.search(text)
+    if digits and _LONG_CODE.search(text):
         for m in IBAN.finditer(text):
             if _valid_iban(m[0]):
                 take(m.start(), m.end(), "id_number")
     if seen & _GROUPS["i"]:
-        for m in IDENTITY.finditer(text):
+        for m in tried("i", IDENTITY):
             take(m.start(1), m.end(1), "id_number")
-    if _DIGITS.search(text) or seen & _GROUPS["a"]:
+    if digits or seen & _GROUPS["a"]:
         if seen & _GROUPS["a"]:
             for m in ADDRESS.finditer(text):
                 if _plausible(m[0]):
@@ -298,21 +312,23 @@ def find_pii(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int
     for start, end in _known_names(text, words, lexicon) if words else ():
         take(start, end, "name")
     if seen & _GROUPS["y"]:
-        for m in SAID.finditer(text):  # in small letters only with a word that is known
+        for m in tried("y", SAID):  # in small letters only with a word that is known
             parts = m[1].split(" ")
             while len(parts) > 2 and parts[-1].lower() in NOT_NAMES:
                 parts.pop()
             if any(_plain(w) in lexicon.roles for w in parts) and not any(w.lower() in NOT_NAMES for w in parts):
                 take(m.start(1), m.start(1) + len(" ".join(parts)), "name")
     if seen & _GROUPS["t"]:
-        for m in TITLED.finditer(text):
+        for m in tried("t", TITLED):
             after = re.match(rf"[ ](?:{'|'.join(ORG_WORDS)})\b", text[m.end() : m.end() + 14])
             if not after and m[1].split()[-1] not in ORG_WORDS:
                 take(m.start(1), m.end(1), "name")
-    for group, pattern in (("p", INTRODUCED), ("d", DESCRIBED)):
-        if seen & _GROUPS[group]:
-            for m in pattern.finditer(text):
-                take(*_person(text, *m.span(pattern.groups)), "name")
+    if seen & _GROUPS["p"]:
+        for m in sorted(tried("p", INTRODUCED), key=lambda m: m.start()):
+            take(*_person(text, *m.span(1)), "name")
+    if seen & _GROUPS["d"]:
+        for m in DESCRIBED.finditer(text):
+            take(*_person(text, *m.span(1)), "name")
     if _INITIAL.search(text):
         for m in INITIALS.finditer(text):
             take(*_person(text, *m.span()), "name")
@@ -435,7 +451,7 @@ class Surrogates:
             if back:
                 left, right = right, left
             for i in reversed(range(6)) if back else range(6):
-                digest = hmac.new(self.key, b"%d|%d|%s|%d" % (i, half, form, right), hashlib.sha256).digest()
+                digest = hashlib.blake2b(b"%d|%d|%s|%d" % (i, half, form, right), key=self.key[:64], digest_size=32).digest()
                 left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
             if back:
                 left, right = right, left
