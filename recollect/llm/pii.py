@@ -421,7 +421,7 @@ class Surrogates:
         e-mail address agree; so does a vowel at the end of a word, which often tells the gender."""
         apart = [_base(c) if letters else c for c in value]
         chars = [c[0] for c in apart]
-        alphabets = [a if (a := _alphabet(c)) and (letters or c.isdigit()) else c for c in chars]
+        alphabets = [a if (a := _marked(c[0], c[1:])) and (letters or c[0].isdigit()) else c[0] for c in apart]
         if letters and len(chars) > 2 and alphabets[-1] in (_VOWELS, _VOWELS.upper()):
             alphabets[-1] = chars[-1]
         size = 1
@@ -474,6 +474,13 @@ def _alphabet(c: str) -> str:
     return "" if c.isascii() else _other_alphabet(c)
 
 
+@lru_cache(65_536)
+def _marked(c: str, marks: str) -> str:
+    """The alphabet of a letter, without those that the accents don't combine with."""
+    a = _alphabet(c)
+    return "".join(x for x in a if len(unicodedata.normalize("NFC", x + marks)) == len(unicodedata.normalize("NFC", c + marks))) if marks else a
+
+
 @lru_cache(65_536)
 def _base(c: str) -> str:
     """A Latin letter apart from its accents; any other character as it is."""
@@ -483,7 +490,8 @@ def _base(c: str) -> str:
 
 @lru_cache(65_536)
 def _other_alphabet(c: str) -> str:
-    """The ten digits of the same script; the letters of the same script, class and case among the 256 characters around."""
+    """The ten digits of the same script; the letters of the same script, class and case among the 256 characters around, but for Latin
+    letters with accents, which are taken apart before."""
     if c.isdecimal():
         zero = ord(c) - unicodedata.decimal(c)
         return "".join(map(chr, range(zero, zero + 10)))
@@ -491,7 +499,7 @@ def _other_alphabet(c: str) -> str:
         return ""
     script, kind, start = unicodedata.name(c, "").split(" ")[0], unicodedata.category(c), ord(c) & ~0xFF
     near = (chr(i) for i in range(max(start, 128), start + 256))
-    return "".join(x for x in near if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script)
+    return "".join(x for x in near if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and _base(x) == x)
 
 
 def _fold(w: str) -> str:
