@@ -1,13 +1,15 @@
 """Subject areas of documents: complement naive Bayes refined by expectation-maximization, calibrated per subject.
 
 Texts become lists of hashed words in segments (sentences and lines). A first model is trained on the labelled documents,
-where a segment of a document counts for each of its labels; "none" is a class of its own. Each round of
+where a segment of a document counts for each of its labels; "none" is a class of its own. A round of
 expectation-maximization then gives every segment of every document its posterior under the model and counts the words anew
-by posterior. A document's share of a subject is the part of its words in segments about it, and a logistic curve per subject,
-fitted to the labels, turns shares into independent posteriors.
+by posterior, beside the labelled ones. A document's share of a subject is the part of its words in segments about it, and a logistic curve per subject, fitted to the labels, turns shares into independent posteriors.
 
-Only the labelled sample is bounded (MAX_LABELLED documents); rounds, shares and posteriors cover all documents. The
-model is a table of BUCKETS x classes, whatever the corpus.
+How far a word must lean to a subject to count and the advantage of "none" are not set by hand: they are those with the least loss
+on labelled documents under models trained on the others, in FOLDS parts.
+
+Only the labelled sample is bounded (MAX_LABELLED documents, of which up to MAX_TUNED are held out in turn); rounds, shares and posteriors
+cover all documents. The model is a table of BUCKETS x classes, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ from recollect.session import shared_checkpoint
 
 BUCKETS = 1 << 17
 MAX_LABELLED = 200_000
-ROUNDS = 2
+MAX_TUNED = 20_000
+ROUNDS = 1
+FOLDS = 3
 PRIOR = 2.0
-SPREAD = (0.4, 0.8)
-NONE = 1.5
-EVIDENCE = 5.0
+# What is tried on held-out labels.
+LEANS = (0.2, 0.4, 0.6)
+NONES = (0.5, 1.5, 3.0)
 _TOKENS = re.compile(r"[^\W\d_]{2,}|[.!?\n]")
 _ENDS = {".", "!", "?", "\n"}
 
@@ -70,38 +74,46 @@ def segments(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, first, doc[word][first] if len(w) else first
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    """The model: by word and class, the log odds of the word against the complement of the class, from the share of
-    each class in the word's occurrences, shrunk towards the classes' overall shares by PRIOR occurrences. A word spread over
-    the classes about as all words are says nothing of a subject and weighs nothing (its divergence lies below
-    SPREAD); else the chance imbalance of phrases common to all subjects would outweigh the few words that tell."""
-    overall = (counts.sum(1) + 1) / (counts.sum() + len(counts))
-    share = (counts + PRIOR * overall[:, None]) / (counts.sum(0) + PRIOR)
-    divergence = (share * np.log(share / overall[:, None])).sum(0)
-    gate = np.clip((divergence - SPREAD[0]) / (SPREAD[1] - SPREAD[0]), 0, 1)
-    w = np.log(share / overall[:, None]) - np.log((1 - share).clip(1e-6) / (1 - overall)[:, None])
+def weights(counts: np.ndarray, lean: float) -> np.ndarray:
+    """The model of complement naive Bayes: by word and class, the log of how much more often the word occurs in the class than in
+    its complement, the documents of all other classes; both counts have PRIOR occurrences more, spread like all words.
+
+    A word spread over the classes about as all words are says nothing of a subject. It weighs nothing if its divergence from that
+    lies below ``lean`` and fully from twice that on; else the chance imbalance of phrases common to all
+    subjects would outweigh the few words that tell."""
+    total, size = counts.sum(0), counts.sum(1)
+    usual = (size + 1) / (size.sum() + len(size))
+    own = counts + PRIOR * usual[:, None]
+    rest = (total - counts) + PRIOR * (1 - usual)[:, None]
+    w = np.log(own / (size + 1)[:, None]) - np.log(rest / (size.sum() - size + len(size))[:, None])
+    share = own / (total + PRIOR)
+    divergence = (share * np.log(share / usual[:, None])).sum(0)
+    gate = np.clip(divergence / lean - 1, 0, 1)
     return np.ascontiguousarray((w * gate).T.astype(np.float32))
 
 
-def posteriors(w: np.ndarray, first: np.ndarray, model: np.ndarray) -> np.ndarray:
+def posteriors(w: np.ndarray, first: np.ndarray, model: np.ndarray, none: float) -> np.ndarray:
     """Of each segment, the probability of each class; the last, none, has it where no word tells otherwise."""
     if not len(first):
         return np.zeros((0, model.shape[1]), np.float32)
     score = np.add.reduceat(model[w], first, axis=0)
-    score[:, -1] += NONE
+    score[:, -1] += none
     score -= score.max(1, keepdims=True)
     p = np.exp(score)
     return p / p.sum(1, keepdims=True)
 
 
-def blend(labelled: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The labelled counts with up to EVIDENCE occurrences of each word from the posteriors: words rare in the
-    labelled documents learn from the others, the rest keep their labels."""
-    n = found.sum(0)
-    return labelled + found * (np.minimum(n, EVIDENCE) / np.maximum(n, 1e-9))
+def in_context(p: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The segments' posteriors given the mixture of classes of their documents: a segment of words not known yet is most likely about
+    what the rest of its document is about, which is how such words are learned."""
+    n = int(doc.max(initial=-1)) + 1
+    mixture = np.column_stack([np.bincount(doc, p[:, c] * size, n) for c in range(p.shape[1])])
+    mixture /= np.maximum(np.bincount(doc, size, n), 1)[:, None]
+    q = p * (mixture[doc] + 0.01)
+    return q / q.sum(1, keepdims=True)
 
 
-def _counts(classes: int, model=None):
+def _counts(classes: int, model=None, none: float = 0.0):
     """Sums of posteriors by word over a partition; without a model, rows bring their own class weights."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +126,7 @@ def _counts(classes: int, model=None):
                 own = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, classes)
                 p = own[doc]
             else:
-                p = posteriors(w, first, model.value)
+                p = in_context(posteriors(w, first, model.value, none), np.diff(np.append(first, len(w))), doc)
             each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
             for c in range(classes):
                 total[c] += np.bincount(w, p[each, c], BUCKETS)
@@ -151,6 +163,50 @@ def _calibrate(share: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def shares_of(column: pa.ListArray, model: np.ndarray, none: float) -> np.ndarray:
+    """Of each document, the part of its words in segments of each class."""
+    w, first, doc = segments(column)
+    p = posteriors(w, first, model, none)
+    size = np.diff(np.append(first, len(w)))
+    out = np.column_stack([np.bincount(doc, p[:, c] * size, len(column)) for c in range(model.shape[1])])
+    return out / np.maximum(np.bincount(doc, size, len(column)), 1)[:, None]
+
+
+def _measured(docs: DataFrame, models: list[list[np.ndarray]], nones: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, shares) by document, model with advantage of "none", class; ``docs`` (words, votes, fold) is a bounded sample;
+    ``models``: those of each fold."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = b.column(2).to_numpy()
+            for f in np.unique(fold):
+                part = b.filter(pa.array(fold == f))
+                s = np.concatenate([shares_of(part.column(0), m, none) for m in shared.value[f] for none in nones], axis=1)
+                off = pa.array(np.arange(0, s.size + 1, s.shape[1], dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(off, pa.array(s.reshape(-1)))], names=["votes", "share"])
+
+    t = docs.select("words", "votes", "fold").mapInArrow(run, "votes array<double>, share array<double>").toArrow()
+    shared.destroy()
+    k = models[0][0].shape[1]
+    flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0)
+    return flat("votes").reshape(-1, k), flat("share").reshape(t.num_rows, len(models[0]) * len(nones), k)
+
+
+def _loss(vote: np.ndarray, share: np.ndarray) -> float:
+    """The log loss of all subjects' curves."""
+    total = 0.0
+    for c in range(vote.shape[1] - 1):
+        y = vote[:, c] > 0
+        p = _curve(share[:, c], *_calibrate(share[:, c], y.astype(float))).clip(1e-6, 1 - 1e-6)
+        total -= np.log(np.where(y, p, 1 - p)).sum()
+    return total
+
+
+def _curve(share: np.ndarray, a, b) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(a + b * (np.log(share + 0.02) - np.log(0.17)), -30, 30)))
+
+
 def subject_areas(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame, names: list[str], rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(id, subject, share, posterior) for each document and each subject whose posterior is at least 0.5.
 
@@ -169,44 +225,31 @@ def subject_areas(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame
     votes = known.groupBy("id").agg(*[F.sum(F.when(F.col("s") == n.lower(), 1.0).otherwise(0.0)).alias(f"v{i}") for i, n in enumerate(names)], F.sum(F.when(F.col("s").isNull(), 1.0).otherwise(0.0)).alias(f"v{k - 1}"))
     votes = votes.select("id", F.array(*[f"v{i}" for i in range(k)]).alias("votes")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     words = shared_checkpoint(tokens(docs, id_col, text_col))
-    some = shared_checkpoint(words.join(votes, "id"))
+    fold = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")
+    some = shared_checkpoint(words.join(votes, "id").select("id", "words", "votes", fold))
     split = F.expr("transform(votes, x -> x / aggregate(votes, 0D, (a, y) -> a + y))")
     shape = "word int, n array<double>"
-    labelled = _total(some.select("words", split.alias("votes")).mapInArrow(_counts(k), shape), k)
-    model = weights(labelled)
-    for _ in range(rounds):
+    by_fold = [_total(some.where(F.col("fold") == f).select("words", split.alias("votes")).mapInArrow(_counts(k), shape), k) for f in range(FOLDS)]
+    labelled = sum(by_fold)
+    tuned = some.orderBy(F.xxhash64("id"), "id").limit(MAX_TUNED)
+    vote, share = _measured(tuned, [[weights(labelled - n, x) for x in LEANS] for n in by_fold], list(NONES))
+    best = int(np.argmin([_loss(vote, share[:, i]) for i in range(share.shape[1])])) if len(vote) else 0
+    lean, none = LEANS[best // len(NONES)], NONES[best % len(NONES)]
+    model = weights(labelled, lean)
+    for _ in range(rounds if len(vote) else 0):
         shared = spark.sparkContext.broadcast(model)
-        found = _total(words.select("words").mapInArrow(_counts(k, shared), shape), k)
-        model = weights(blend(labelled, found))
+        found = _total(words.select("words").mapInArrow(_counts(k, shared, none), shape), k)
+        model = weights(labelled + found, lean)
         shared.destroy()
+    vote, share = _measured(some, [[model]] * FOLDS, [none])
+    curves = [_calibrate(share[:, 0, c], (vote[:, c] > 0).astype(float)) if len(share) else (-30.0, 0.0) for c in range(k - 1)]
     shared = spark.sparkContext.broadcast(model)
     kind = words.schema["id"].dataType.simpleString()
 
-    def shares(column: pa.ListArray) -> np.ndarray:
-        w, first, doc = segments(column)
-        p = posteriors(w, first, shared.value)
-        size = np.diff(np.append(first, len(w)))
-        out = np.zeros((len(column), k))
-        for c in range(k):
-            out[:, c] = np.bincount(doc, p[:, c] * size, len(column))
-        return out / np.maximum(np.bincount(doc, size, len(column)), 1)[:, None]
-
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = shares(b.column(0))
-            off = pa.array(np.arange(0, (len(s) + 1) * k, k, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.ListArray.from_arrays(off, pa.array(s.reshape(-1)))], names=["votes", "share"])
-
-    sample = some.select("words", "votes").mapInArrow(measure, "votes array<double>, share array<double>").toArrow()
-    share = np.array(sample["share"].to_pylist(), float).reshape(-1, k)
-    vote = np.array(sample["votes"].to_pylist(), float).reshape(-1, k)
-    curves = [_calibrate(share[:, c], (vote[:, c] > 0).astype(float)) if len(share) else (-30.0, 0.0) for c in range(k - 1)]
-
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = shares(b.column(1))[:, : k - 1]
-            a, slope = np.array(curves).T
-            p = 1 / (1 + np.exp(-np.clip(a + slope * (np.log(s + 0.02) - np.log(0.17)), -30, 30)))
+            s = shares_of(b.column(1), shared.value, none)[:, : k - 1]
+            p = _curve(s, *np.array(curves).T)
             i, c = np.nonzero(p >= 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array([names[x] for x in c], pa.string()), pa.array(s[i, c]), pa.array(p[i, c])], names=["id", "subject", "share", "posterior"])
 
