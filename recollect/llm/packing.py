@@ -5,7 +5,8 @@ counts. The driver packs the histogram, not the texts. Items are routed to tiers
 it, a quarter, ...); the items of a tier first fill gaps of longer windows (the tightest that fits), the rest
 open windows of their own tier; last, shorter windows are put together to contexts. The result is a list of patterns, each
 so many contexts with the same sizes; an item finds its place by its rank among the items of its size. Ranks are
-counted in two steps, within salted parts and over the parts' totals, so that no task holds all items of a size.
+counted in two steps, within parts of PART_ROWS items or so and over the parts' totals, so that no task holds all items of a size.
+The sizes are checkpointed, as they are needed for the histogram and for the ranks, and texts are read once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+from recollect.session import shared_checkpoint
+
+PART_ROWS = 1_000_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's pre-tokens are cut.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -125,7 +128,7 @@ def pack_histogram(counts: dict[int, int], capacity: int, tiers: int = 4) -> lis
     return [(c, n, tier(max(c))) for c, n in sorted(out, key=lambda x: (-sum(x[0]), x[0]))]
 
 
-def pack(sized: DataFrame, capacity: int = 2_048, tiers: int = 4, step: int = 64) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = 2_048, tiers: int = 4, step: int = 64, part_rows: int = PART_ROWS) -> DataFrame:
     """Where each item goes: (id, part, first_token, n_tokens, context, slot, tier, step).
 
     ``sized``: (id, n_tokens). An item larger than the capacity is split into full contexts and a rest; none other is
@@ -133,19 +136,23 @@ def pack(sized: DataFrame, capacity: int = 2_048, tiers: int = 4, step: int = 64
     form one step, between which lengths are balanced. ``tier`` 0 holds items over half the capacity, 1 over a
     quarter, and so on.
     """
-    items = sized.where("n_tokens > 0").withColumn("part", F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {capacity})")))
+    items = shared_checkpoint(sized.where("n_tokens > 0")).withColumn("part", F.explode(F.expr(f"sequence(0L, (n_tokens - 1) div {capacity})")))
     items = items.select("id", "part", (F.col("part") * capacity).alias("first_token"), F.least(F.col("n_tokens") - F.col("part") * capacity, F.lit(capacity)).alias("n"))
-    items = items.withColumn("_salt", F.pmod(F.xxhash64("id", "part"), F.lit(SALTS)).cast("int"))
-    # at most capacity * SALTS rows, whatever the corpus
-    sizes = items.groupBy("n", "_salt").agg(F.count(F.lit(1)).alias("k")).collect()
-    by: dict[int, list[int]] = defaultdict(lambda: [0] * SALTS)
-    for n, salt, k in sizes:
-        by[n][salt] = k
-    before = {n: np.concatenate([[0], np.cumsum(ks)]) for n, ks in by.items()}
-    patterns = pack_histogram({n: int(b[-1]) for n, b in before.items()}, capacity, tiers)
+    # by size, at most capacity rows; a size of many items has as many parts as its number needs
+    total = {r["n"]: r["k"] for r in items.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    parts = {n: -(-k // part_rows) for n, k in total.items()}
+    several = {n: k for n, k in parts.items() if k > 1}
+    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(int(x)).cast("bigint") for kv in several.items() for x in kv]), F.col("n")), F.lit(1)) if several else F.lit(1)
+    items = items.withColumn("_salt", F.pmod(F.xxhash64("id", "part"), salts).cast("int"))
+    before = {n: np.array([0, k]) for n, k in total.items()}
+    if several:
+        by: dict[int, list[int]] = {n: [0] * k for n, k in several.items()}
+        for n, salt, k in items.where(F.col("n").isin(list(several))).groupBy("n", "_salt").agg(F.count(F.lit(1)).alias("k")).collect():
+            by[n][salt] = k
+        before |= {n: np.concatenate([[0], np.cumsum(ks)]) for n, ks in by.items()}
+    patterns = pack_histogram(total, capacity, tiers)
     first = np.concatenate([[0], np.cumsum([n for _, n, _ in patterns])]).astype(np.int64)
-    total = int(first[-1])
-    groups = max(1, -(-total // step))
+    groups = max(1, -(-int(first[-1]) // step))
     slots: dict[int, list[list[int]]] = defaultdict(lambda: [[0], [], [], []])  # ends, first context, slot, tier
     for p, (contents, n, tier) in enumerate(patterns):
         for slot, size in enumerate(contents):

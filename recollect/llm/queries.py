@@ -82,6 +82,14 @@ def p8_contexts(spark: SparkSession, d: str) -> DataFrame:
     return pack(sized).withColumnRenamed("id", "doc_id")
 
 
+def p8_room(spark: SparkSession, d: str) -> DataFrame:
+    """The contexts that p8_contexts fills, their tokens, the part of their room that stays unused, and the most and least of a step."""
+    per = p8_contexts(spark, d).groupBy("step", "context").agg(F.sum("n_tokens").alias("n"))
+    per = per.groupBy("step").agg(F.count(F.lit(1)).alias("n_contexts"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    out = per.agg(F.sum("n_contexts").alias("n_contexts"), F.sum("n").alias("n_tokens"), F.max("most").alias("fullest"), F.min("n").alias("step_least"), F.max("n").alias("step_most"))
+    return out.withColumn("unused", F.round(1 - F.col("n_tokens") / (F.col("n_contexts") * 2_048), 6))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").select("item_id", F.concat_ws(" ", "passage", "question").alias("text"))
     return leaked_items(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "text").select("doc_id", "item_id")
@@ -106,7 +114,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
-    "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_contexts": p8_contexts, "p9_found": p9_found,
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_contexts": p8_contexts, "p8_room": p8_room, "p9_found": p9_found,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 

@@ -185,10 +185,11 @@ def test_histogram_packing(seed):
     assert sum(n for _, n, _ in out) <= 1.04 * used + 1
 
 
-def test_pack_frame(spark):
+@pytest.mark.parametrize("part_rows", [50, 1_000_000])
+def test_pack_frame(spark, part_rows):
     r = random.Random(2)
     rows = [(i, r.choice([3, 3, 3, 100, 700, 2048, 5000, r.randrange(1, 2500)])) for i in range(3000)] + [(9999, 0), (9998, None)]
-    got = packing.pack(spark.createDataFrame(rows, "id bigint, n_tokens bigint")).toPandas()
+    got = packing.pack(spark.createDataFrame(rows, "id bigint, n_tokens bigint"), part_rows=part_rows).toPandas()
     assert got.groupby("id").n_tokens.sum().to_dict() == {i: n for i, n in rows if n}
     assert got.groupby("context").n_tokens.sum().max() <= 2048 and not got.duplicated(["context", "slot"]).any()
     cut = got[got.part > 0].id.unique()
