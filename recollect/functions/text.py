@@ -55,11 +55,12 @@ def entity_names(c: Column) -> Column:
 
 
 def truncate(c: Column, octets: int) -> Column:
-    """Whole text if it fits; else its beginning up to the last blank if that lies beyond the half, with ``...``. Counts
-    characters, so no character is broken."""
-    head = F.left(c, F.lit(octets))
+    """Whole text if it fits; else its first ``octets`` octets of UTF-8, without a character cut in two, up to the last blank if that
+    lies beyond the half, with ``...``."""
+    head = F.substring(F.encode(c, "UTF-8"), 1, octets).cast("string")
+    head = F.when(F.is_valid_utf8(head), head).otherwise(F.regexp_replace(F.make_valid_utf8(head), "\ufffd+$", ""))
     cut = F.regexp_extract(head, r"(?s)^(.*) ", 1)
-    return F.when(F.octet_length(c) <= octets, c).otherwise(F.concat(F.when(F.length(cut) > octets // 2, cut).otherwise(head), F.lit("...")))
+    return F.when(F.octet_length(c) <= octets, c).otherwise(F.concat(F.when(F.octet_length(cut) > octets // 2, cut).otherwise(head), F.lit("...")))
 
 
 def tokenize(c: Column) -> Column:

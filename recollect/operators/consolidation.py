@@ -85,5 +85,25 @@ def due(activity: DataFrame, pending: DataFrame, now: Column, idle_us: int = 15
     """Users due for consolidation: idle for more than ``idle_us`` (first), else with ``most`` pending episodes."""
     x = activity.join(pending, "user_id", "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
     idle = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp")) > idle_us
-    reason = F.when(idle, "inactivity_timeout").when(F.col("pending") >= most, "episode_count")
+    reason = F.when(idle, "inactivity_timeout").when(F.col("pending") >= most, "max_unconsolidated")
     return x.withColumn("reason", reason).where("reason is not null")
+
+
+def tick(activity: DataFrame, pending: DataFrame, holds: DataFrame, now: Column, hold_us: int = 5 * 60 * 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """One pass of the scheduler over all known users: (jobs, holds).
+
+    ``holds``: (user_id, until), users for whom a job was sent, until when no other is. Jobs are those due (``due``) and not held; each
+    begins a hold of its own. A user who stays idle comes up again when the hold ends, with or without pending episodes.
+    """
+    held = holds.where(F.col("until") > now).select("user_id", "until")
+    jobs = due(activity, pending, now).join(held.select("user_id"), "user_id", "left_anti").select("user_id", "reason", now.alias("at"))
+    until = F.timestamp_add("MICROSECOND", F.lit(hold_us), F.col("at")).cast("timestamp_ntz")
+    return jobs, held.unionByName(jobs.select("user_id", until.alias("until")))
+
+
+def consolidated(episodes: DataFrame, batch: DataFrame, gists: DataFrame, decay: float = 0.95) -> DataFrame:
+    """``episodes`` after a run: those of the ``batch`` (id, user_id, cluster) whose cluster has a gist and facts in ``gists`` (user_id, cluster,
+    gist, facts) are consolidated and decayed; a cluster for which the provider failed (a null) stays as it was."""
+    done = gists.where("gist is not null and facts is not null").select("user_id", "cluster")
+    ids = batch.join(done, ["user_id", "cluster"], "left_semi").select("id")
+    return set_where(set_where(episodes, ids, "status", "consolidated"), ids, "decay", decay)

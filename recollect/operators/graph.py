@@ -19,6 +19,11 @@ def fact_text(s: str, p: str, o: str) -> Column:
     return F.concat_ws(" ", s, p, o)
 
 
+def fact_sentence(s: str, p: str, o: str) -> Column:
+    """A fact as content of a retrieval result."""
+    return F.concat(F.concat_ws(" ", s, p, o), F.lit(". "))
+
+
 def merge_entities(mentions: DataFrame) -> DataFrame:
     """Nodes of (name, user_id, at) mentions: created with the first, touched by the last; partial aggregates first."""
     return mentions.where("name is not null and user_id is not null").groupBy("name", "user_id").agg(F.min("at").alias("created_at"), F.max("at").alias("last_accessed"))
@@ -59,9 +64,19 @@ def resolve_conflicts(facts: DataFrame, keys: list[str], value: str, at: str, se
 
 def conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Facts of ``existing`` (user_id, subject, predicate, object, id) contradicted by ``incoming`` ones of the same
-    subject and predicate: an equi-join with an inequality left over."""
-    new = incoming.select("user_id", "subject", "predicate", F.col("object").alias("new_object")).distinct()
-    return existing.join(new, ["user_id", "subject", "predicate"]).where(F.col("object") != F.col("new_object"))
+    subject and predicate: one row each, with the number of other values and the first and last of them. The values of a key are
+    aggregated first, so a hot key forms no pairs."""
+    keys = ["user_id", "subject", "predicate"]
+    values = incoming.where("object is not null").groupBy(*keys, "object").agg(F.lit(1).alias("_one"))
+    by = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("object").alias("_lo"), F.max("object").alias("_hi"))
+    # of the first and last value themselves, the next ones
+    lo2 = values.join(by, keys).where(F.col("object") > F.col("_lo")).groupBy(*keys).agg(F.min("object").alias("_lo2"))
+    hi2 = values.join(by, keys).where(F.col("object") < F.col("_hi")).groupBy(*keys).agg(F.max("object").alias("_hi2"))
+    x = existing.join(by.join(lo2, keys, "left").join(hi2, keys, "left"), keys).join(values, [*keys, "object"], "left")
+    x = x.withColumn("others", F.col("_n") - F.coalesce("_one", F.lit(0))).where("others > 0")
+    x = x.withColumn("first_other", F.when(F.col("object") == F.col("_lo"), F.col("_lo2")).otherwise(F.col("_lo")))
+    x = x.withColumn("last_other", F.when(F.col("object") == F.col("_hi"), F.col("_hi2")).otherwise(F.col("_hi")))
+    return x.drop("_n", "_lo", "_hi", "_lo2", "_hi2", "_one")
 
 
 def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
@@ -82,10 +97,49 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return a.unionByName(b).dropDuplicates(["query", "id"])
 
 
+def insert_triples(nodes: DataFrame, edges: DataFrame, triples: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The graph after writing ``triples`` (user_id, subject, predicate, object, confidence, source_ep_id): (nodes, edges).
+
+    Both ends of each triple become nodes (name, user_id, created_at, last_accessed) if they are none yet, else they are touched; each
+    triple is a new edge, valid and recorded from ``now``, open, of decay rate 1. Ids come from the values, so a rerun gives the
+    same. Triples without user, subject or object are left out; repeated ones are edges of their own.
+    """
+    t = triples.where("user_id is not null and subject is not null and object is not null")
+    ends = t.select("user_id", F.col("subject").alias("name")).unionByName(t.select("user_id", F.col("object").alias("name"))).distinct()
+    ends = ends.select("name", "user_id", now.alias("at"))
+    both = nodes.select("name", "user_id", "created_at", "last_accessed").unionByName(ends.select("name", "user_id", F.col("at").alias("created_at"), F.col("at").alias("last_accessed")))
+    merged = both.groupBy("name", "user_id").agg(F.min("created_at").alias("created_at"), F.max("last_accessed").alias("last_accessed"))
+    number = F.row_number().over(Window.partitionBy("user_id", "subject", "predicate", "object").orderBy("source_ep_id", "confidence"))
+    new = t.withColumn("_n", number).select(
+        F.sha2(F.concat_ws("|", "user_id", "subject", "predicate", "object", "source_ep_id", now.cast("string"), "_n"), 256).alias("id"), "user_id",
+        F.col("subject").alias("src"), "predicate", F.col("object").alias("dst"), "confidence", now.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"),
+        now.alias("transaction_time"), "source_ep_id", F.lit(1.0).alias("decay_rate"),
+    )
+    return merged, edges.unionByName(new, allowMissingColumns=True)
+
+
+def close_conflicts(edges: DataFrame, triples: DataFrame, now: Column, decay: float = DECAY) -> DataFrame:
+    """``edges`` in which those that are open and contradicted by one of ``triples`` (same user, subject and predicate, another
+    object) are closed at ``now`` with their confidence times ``decay``. Values of a key are compared as sets: an edge is contradicted
+    unless its object is the only new one, so no pairs are formed."""
+    d = decay if 0 < decay < 1 else DECAY
+    new = triples.groupBy("user_id", F.col("subject").alias("src"), "predicate").agg(F.min("object").alias("_lo"), F.max("object").alias("_hi"))
+    x = edges.join(new, ["user_id", "src", "predicate"], "left")
+    hit = (F.col("valid_to").isNull() | (F.col("valid_to") > now)) & ((F.col("dst") != F.col("_lo")) | (F.col("dst") != F.col("_hi")))
+    x = x.withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    for c, v in (("valid_to", now), ("confidence", F.col("confidence") * d), ("decay_rate", F.lit(d))):
+        if c in edges.columns:
+            x = x.withColumn(c, F.when(F.col("_hit"), v).otherwise(F.col(c)))
+    return x.select(*edges.columns)
+
+
 def stats(nodes: DataFrame, active: DataFrame, mode: str = "reference") -> DataFrame:
-    """Nodes and active facts per user; in reference mode a user without an active fact has no nodes either."""
+    """Nodes and active facts per user. A fact counts for the user of its first node, whatever its own, and only between existing
+    nodes. In reference mode a user without an active fact has no nodes either."""
     n = nodes.groupBy("user_id").agg(F.count(F.lit(1)).alias("nodes"))
-    e = active.groupBy("user_id").agg(F.count(F.lit(1)).alias("edges"))
+    ends = nodes.select("id").distinct()
+    e = active.join(nodes.select(F.col("id").alias("src"), F.col("user_id").alias("_owner")), "src").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = e.groupBy(F.col("_owner").alias("user_id")).agg(F.count(F.lit(1)).alias("edges"))
     x = n.join(e, "user_id", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
     if mode == "reference":
         x = x.withColumn("nodes", F.when(F.col("edges") == 0, 0).otherwise(F.col("nodes")))

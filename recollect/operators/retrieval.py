@@ -26,7 +26,7 @@ def merge_results(vector: DataFrame, graph: DataFrame, mode: str = "reference")
     facts share the key ``ep:``, so one fact per query remains, that of the highest confidence; in intended mode each
     distinct fact has its own."""
     v = vector.withColumn("source", F.lit("vector")).withColumn("key", F.concat(F.lit("ep:"), F.col("id")))
-    key = F.lit("ep:") if mode == "reference" else F.concat(F.lit("gf:"), F.col("content"))
+    key = F.lit("ep:") if mode == "reference" else F.concat(F.lit("gf:"), F.concat_ws(":", "subject", "predicate", "object"), F.lit("|"))
     g = graph.withColumn("source", F.lit("graph")).withColumn("key", key)
     w = Window.partitionBy("query", "key").orderBy(F.desc("source"), "rank")  # vector before graph
     return v.unionByName(g, allowMissingColumns=True).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -39,11 +39,14 @@ def information_gain(age_hours: Column) -> Column:
     return F.when(F.col("source") == "graph", 0.15 * F.col("confidence")).otherwise(episode * F.coalesce("decay", F.lit(0.0)))
 
 
-def rerank(results: DataFrame, as_of: Column, least: float = MIN_GAIN) -> DataFrame:
-    """Adds ``gain``, drops what has no content or not more than ``least``. ``as_of``: seconds since 1970."""
+def rerank(results: DataFrame, as_of: Column, least: float = MIN_GAIN, score: Column | None = None, fallback: bool = True) -> DataFrame:
+    """Adds ``gain``, drops what has no content or not more than ``least``. ``as_of``: seconds since 1970. ``score``: the gain by a
+    provider, null where it failed; there the heuristic stands in, or with ``fallback`` off the result is dropped."""
     second = F.floor(micros("ts") / 1_000_000)
-    age = (as_of - second) / 3600
-    return results.where("content <> ''").withColumn("gain", information_gain(age)).where(F.col("gain") > least)
+    gain = information_gain((as_of - second) / 3600)
+    if score is not None:
+        gain = F.coalesce(score, gain) if fallback else score
+    return results.where("content <> ''").withColumn("gain", gain).where(F.col("gain") > least)
 
 
 def last_turns(turns: DataFrame, n: int) -> DataFrame:

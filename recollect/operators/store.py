@@ -18,9 +18,13 @@ def upsert(stored: DataFrame, incoming: DataFrame, order: list, key: str = "id")
     return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def episodes(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
-    """The episodes, each id once, under short names; only the named columns are read."""
-    e = table(spark, d, "episodes").where("id is not null").select(
+def episodes(spark: SparkSession, d: str, columns: list[str] | None = None, user: str | None = None) -> DataFrame:
+    """The episodes, each id once, under short names; only the named columns are read. The rows of an id have one user, so with
+    ``user`` all others are left out before the ids are compared."""
+    e = table(spark, d, "episodes").where("id is not null")
+    if user is not None:
+        e = e.where(user_key(F.col("user_id")) == user)
+    e = e.select(
         "id", user_key(F.col("user_id")).alias("user_id"), "content", "embedding", "ts", "memory_type", F.col("consolidation_status").alias("status"),
         F.col("surprisal_value").alias("surprisal"), F.col("importance_score").alias("importance"), F.col("decay_factor").alias("decay"), "token_count", "associated_entities",
     )

@@ -9,12 +9,14 @@ from recollect.functions import text as tx
 from recollect.functions import vectors as vx
 from recollect.operators import consolidation as con
 from recollect.operators import graph, retrieval, segmentation, store
+from recollect.session import shared_checkpoint
 from recollect.sources import requests
 from recollect.sources.tables import from_micros, micros, table, type_key, user_key
 
 DIM = 64
 AS_OF = "2015-06-01 00:00:00"
 NOW = "2016-05-01 00:00:00"
+TICK = "2016-03-25 09:45:00"  # some users are active, with pending episodes
 NOW_S = 1_462_060_800
 BUDGET = 512
 
@@ -114,9 +116,16 @@ def op02(spark, d):
     return requests.parse_query(lines, 4096).select("turn_id", "user_id", "query", F.col("token_budget").cast("int").alias("token_budget"))
 
 
-@query("op04_upsert_episodes", f"WITH {E} SELECT id, status, decay, coalesce(token_count, -1) AS token_count FROM e")
+@query("op04_upsert_episodes", f"""WITH {E}, i AS (SELECT id, 'restored' AS status, 0.5::DOUBLE AS decay, coalesce(token_count, 0) + 1 AS token_count FROM e WHERE ts >= TIMESTAMP '2016-03-20'
+  UNION ALL SELECT 'new-' || id, 'pending', 1.0, 7 FROM e WHERE ts < TIMESTAMP '2016-03-03')
+SELECT id, status, decay, token_count FROM i UNION ALL SELECT id, status, decay, coalesce(token_count, -1) FROM e ANTI JOIN i USING (id)""")
 def op04(spark, d):
-    return eps(spark, d, "id", "status", "decay", "token_count").withColumn("token_count", F.coalesce("token_count", F.lit(-1)))
+    """Later versions of some episodes replace the stored ones, others are new."""
+    e = eps(spark, d, "id", "status", "decay", "token_count", "ts")
+    again = e.where(F.col("ts") >= ntz("2016-03-20 00:00:00")).select("id", F.lit("restored").alias("status"), F.lit(0.5).alias("decay"), (F.coalesce("token_count", F.lit(0)) + 1).alias("token_count"))
+    new = e.where(F.col("ts") < ntz("2016-03-03 00:00:00")).select(F.concat(F.lit("new-"), "id").alias("id"), F.lit("pending").alias("status"), F.lit(1.0).alias("decay"), F.lit(7).alias("token_count"))
+    stored = e.select("id", "status", "decay", F.coalesce("token_count", F.lit(-1)).alias("token_count"), F.lit(0).alias("_v"))
+    return store.upsert(stored, again.unionByName(new).withColumn("_v", F.lit(1)), [F.desc("_v")]).drop("_v")
 
 
 @query("op05_decode", f"WITH {E} SELECT id, coalesce(content, '') AS content, coalesce(user_id, '') AS user_id, coalesce(status, '') AS status, coalesce(surprisal, 0) AS surprisal, coalesce(token_count, 0) AS token_count FROM e")
@@ -124,14 +133,42 @@ def op05(spark, d):
     return store.decode(eps(spark, d, "id", "content", "user_id", "status", "surprisal", "token_count"))
 
 
-@query("op06_unique_names", f"WITH {N} SELECT name, user_id, count(DISTINCT id) AS ids FROM n GROUP BY ALL HAVING count(DISTINCT id) > 1")
+@query("op06_unique_names", f"WITH {N} SELECT lower(left(name, 5)) AS name, user_id, count(DISTINCT id) AS ids FROM n GROUP BY ALL HAVING count(DISTINCT id) > 1")
 def op06(spark, d):
-    return store.violations(nodes(spark, d), ["name", "user_id"])
+    """Names and users are unique in the data, so the check is of the names' first five letters, which are not."""
+    return store.violations(nodes(spark, d).withColumn("name", F.lower(F.left("name", F.lit(5)))), ["name", "user_id"])
 
 
-@query("op07_triple_sink", f"WITH {N}, {R}, {A}, {G} SELECT user_id, src AS subject, predicate, dst AS object, count(*) AS edges FROM g GROUP BY ALL")
+_TRIPLES = """tr AS (SELECT user_id, src AS subject, predicate, CASE WHEN id < '8' THEN dst ELSE 'new ' || dst END AS object, confidence, id AS source_ep_id FROM g WHERE confidence >= 0.5)"""
+
+
+def _triples(spark, d) -> DataFrame:
+    """What a run might extract: facts of some confidence, half of them about things not known yet."""
+    f = facts(spark, d).where("confidence >= 0.5")
+    thing = F.when(F.col("id") < "8", F.col("dst")).otherwise(F.concat(F.lit("new "), "dst"))
+    return f.select("user_id", F.col("src").alias("subject"), "predicate", thing.alias("object"), "confidence", F.col("id").alias("source_ep_id"))
+
+
+def _written(spark, d):
+    n, e = nodes(spark, d).drop("id"), active(spark, d).withColumn("decay_rate", F.lit(1.0))
+    return graph.insert_triples(n, e, _triples(spark, d), ntz(NOW))
+
+
+@query("op07_triple_sink", f"""WITH {N}, {R}, {A}, {G}, {_TRIPLES}, x AS (SELECT name, user_id, created_at, last_accessed FROM n UNION ALL SELECT subject, user_id, TIMESTAMP '{NOW}', TIMESTAMP '{NOW}' FROM tr
+  UNION ALL SELECT object, user_id, TIMESTAMP '{NOW}', TIMESTAMP '{NOW}' FROM tr)
+SELECT name, user_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS created_at, strftime(max(last_accessed), '%Y-%m-%d %H:%M:%S') AS last_accessed FROM x GROUP BY name, user_id""")
 def op07(spark, d):
-    return facts(spark, d).groupBy("user_id", F.col("src").alias("subject"), "predicate", F.col("dst").alias("object")).agg(F.count(F.lit(1)).alias("edges"))
+    """The nodes after the triples are written."""
+    n, _ = _written(spark, d)
+    return n.select("name", "user_id", F.date_format("created_at", SECOND).alias("created_at"), F.date_format("last_accessed", SECOND).alias("last_accessed"))
+
+
+@query("op07_triple_edges", f"""WITH {N}, {R}, {A}, {G}, {_TRIPLES}, x AS (SELECT user_id, predicate, confidence, valid_from, valid_to FROM a UNION ALL SELECT user_id, predicate, confidence, TIMESTAMP '{NOW}', NULL FROM tr)
+SELECT user_id, predicate, count(*) AS edges, count(*) FILTER (valid_from = TIMESTAMP '{NOW}' AND valid_to IS NULL) AS written, round(sum(confidence), 5) AS confidence FROM x GROUP BY ALL""")
+def op07e(spark, d):
+    _, e = _written(spark, d)
+    new = F.count_if((F.col("valid_from") == ntz(NOW)) & F.col("valid_to").isNull())
+    return e.groupBy("user_id", "predicate").agg(F.count(F.lit(1)).alias("edges"), new.alias("written"), F.round(F.sum("confidence"), 5).alias("confidence"))
 
 
 @query("op11_jobs", f"WITH {E} SELECT '{{\"user_id\":\"' || user_id || '\"}}' AS payload FROM e WHERE user_id IS NOT NULL AND status = 'pending' GROUP BY user_id HAVING count(*) >= 10")
@@ -153,12 +190,12 @@ def op12(spark, d):
 
 @query("op14_tenant_filter", f"WITH {E} SELECT id, content FROM e WHERE user_id = 'user_0000101'")
 def op14(spark, d):
-    return eps(spark, d, "id", "user_id", "content").where("user_id = 'user_0000101'").select("id", "content")
+    return store.episodes(spark, d, ["id", "content"], "user_0000101")
 
 
 @query("op15_pending_filter", f"WITH {E} SELECT id FROM e WHERE user_id = 'user_0000007' AND status = 'pending'")
 def op15(spark, d):
-    return eps(spark, d, "id", "user_id", "status").where("user_id = 'user_0000007' and status = 'pending'").select("id")
+    return store.episodes(spark, d, ["id", "status"], "user_0000007").where("status = 'pending'").select("id")
 
 
 @query("op16_valid_edges", f"WITH {R}, {A} SELECT id, user_id, predicate FROM a")
@@ -177,12 +214,11 @@ def op21(spark, d):
     return facts(spark, d).select("id", graph.fact_text("src", "predicate", "dst").alias("fact"))
 
 
-@query("op22_content", f"""WITH {E} SELECT id, coalesce(nullif(content, ''), array_to_string(list_transform(associated_entities, lambda x: x || '. '), '')) AS content FROM e
-WHERE coalesce(nullif(content, ''), array_to_string(list_transform(associated_entities, lambda x: x || '. '), '')) <> ''""")
+@query("op22_content", f"""WITH {E}, {N}, {R}, {A}, {G} SELECT id, content FROM e WHERE content <> '' UNION ALL SELECT id, src || ' ' || predicate || ' ' || dst || '. ' AS content FROM g""")
 def op22(spark, d):
-    e = eps(spark, d, "id", "content", "associated_entities")
-    said = F.array_join(F.transform("associated_entities", lambda x: F.concat(x, F.lit(". "))), "")
-    return e.select("id", F.coalesce(F.nullif("content", F.lit("")), said).alias("content")).where("content <> ''")
+    """The content of results: an episode's own, or that of a fact."""
+    e = eps(spark, d, "id", "content").where("content <> ''")
+    return e.unionByName(facts(spark, d).select("id", graph.fact_sentence("src", "predicate", "dst").alias("content")))
 
 
 @query("op23_confidence", "SELECT id, coalesce(try_cast(confidence::VARCHAR AS DOUBLE), 0) AS confidence FROM relationships")
@@ -239,10 +275,20 @@ def op28(spark, d):
 
 
 @query("op29_conflicts", f"""WITH {N}, {R}, {A}, {G}, new AS (SELECT DISTINCT user_id, src, predicate, dst FROM g)
-SELECT g.id, g.dst AS object, new.dst AS new_object FROM g JOIN new ON g.user_id = new.user_id AND g.src = new.src AND g.predicate = new.predicate AND g.dst <> new.dst""")
+SELECT g.id, g.dst AS object, count(*) AS others, min(new.dst) AS first_other, max(new.dst) AS last_other
+FROM g JOIN new ON g.user_id = new.user_id AND g.src = new.src AND g.predicate = new.predicate AND g.dst <> new.dst GROUP BY ALL""")
 def op29(spark, d):
     f = facts(spark, d).select("id", "user_id", F.col("src").alias("subject"), "predicate", F.col("dst").alias("object"))
-    return graph.conflicts(f, f).select("id", "object", "new_object")
+    return graph.conflicts(f, f).select("id", "object", "others", "first_other", "last_other")
+
+
+@query("op29_closed", f"""WITH {N}, {R}, {A}, {G}, {_TRIPLES}, k AS (SELECT id, EXISTS (SELECT 1 FROM tr WHERE tr.user_id = g.user_id AND tr.subject = g.src AND tr.predicate = g.predicate AND tr.object <> g.dst) AS closed, confidence AS c FROM g)
+SELECT id, closed, round(CASE WHEN closed THEN c * 0.95 ELSE c END, 6) AS confidence FROM k""")
+def op29c(spark, d):
+    """The facts after those contradicted by new triples are closed."""
+    f = facts(spark, d).withColumn("valid_to", F.lit(None).cast("timestamp_ntz"))
+    x = graph.close_conflicts(f, _triples(spark, d), ntz(NOW))
+    return x.select("id", F.col("valid_to").isNotNull().alias("closed"), F.round("confidence", 6).alias("confidence"))
 
 
 _BATCH = "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, id) AS pos FROM e WHERE user_id IS NOT NULL AND status = 'pending') WHERE pos <= 100)"
@@ -267,19 +313,24 @@ def op35(spark, d):
     return eps(spark, d, "user_id", "status").where("user_id is not null and status = 'pending'").groupBy("user_id").agg(F.count(F.lit(1)).alias("pending"))
 
 
-_STATS = f"""WITH {N}, {R}, {A}, c AS (SELECT user_id, count(*) AS nodes FROM n GROUP BY user_id), x AS (SELECT user_id, count(*) AS edges FROM a GROUP BY user_id),
+_STATS = f"""WITH {N}, {R}, o AS (SELECT * FROM r WHERE valid_to IS NULL OR valid_to > TIMESTAMP '{AS_OF}'), c AS (SELECT user_id, count(*) AS nodes FROM n GROUP BY user_id),
+x AS (SELECT s.user_id, count(*) AS edges FROM o JOIN n s ON o.src = s.id WHERE o.dst IN (SELECT id FROM n) GROUP BY s.user_id),
 s AS (SELECT user_id, {{}} AS nodes, coalesce(edges, 0) AS edges FROM c LEFT JOIN x USING (user_id))
 SELECT user_id, nodes, edges, CASE WHEN nodes = 0 THEN 0 ELSE round(edges / nodes, 2) END AS density FROM s"""
 
 
+def _open(spark, d) -> DataFrame:
+    return relations(spark, d).where(graph.valid_at(ntz(AS_OF)))
+
+
 @query("op36_stats_reference", _STATS.format("CASE WHEN edges IS NULL THEN 0 ELSE nodes END"))
 def op36(spark, d):
-    return graph.stats(nodes(spark, d), active(spark, d), "reference")
+    return graph.stats(nodes(spark, d), _open(spark, d), "reference")
 
 
 @query("op37_stats_intended", _STATS.format("nodes"))
 def op37(spark, d):
-    return graph.stats(nodes(spark, d), active(spark, d), "intended")
+    return graph.stats(nodes(spark, d), _open(spark, d), "intended")
 
 
 @query("op38_centroids", f"WITH {E}, {V}, u AS (SELECT user_id, unnest(x) AS x, generate_subscripts(x, 1) AS pos FROM v) SELECT user_id, pos - 1 AS pos, round(avg(x), 5) AS mean FROM u GROUP BY user_id, pos")
@@ -369,8 +420,8 @@ _TOP = """top AS (SELECT * FROM (SELECT v.*, round(list_cosine_similarity(v.x, q
   FROM v JOIN q USING (user_id)) WHERE rank <= 20)"""
 
 
-def _top(spark, d, *cols):
-    q = questions(spark, d).select("query", "user_id", "vector")
+def _top(spark, d, *cols, asked=None):
+    q = (questions(spark, d) if asked is None else asked).select("query", "user_id", "vector")
     x = usable(spark, d, *cols).join(q, "user_id").withColumn("score", F.round(vx.cosine_similarity(F.col("embedding"), F.col("vector")), 9))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return x.drop("vector", "embedding").withColumn("rank", F.row_number().over(w)).where("rank <= 20")
@@ -392,27 +443,34 @@ def op56(spark, d):
     return con.pending_batch(eps(spark, d, "id", "user_id", "ts", "status")).select("user_id", "id", "pos")
 
 
-_GRAPH = f"""seeds AS (SELECT q.user_id, min(n.name) AS node FROM q JOIN n ON q.user_id = n.user_id GROUP BY q.user_id), {_HOPS},
+_NAMES = """list_concat(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]') AND strlen(x) >= 2),
+  list_filter(list_transform(range(1, len(w)), lambda i: CASE WHEN regexp_matches(w[i], '^[A-Z]') AND regexp_matches(w[i + 1], '^[A-Z]') THEN w[i] || ' ' || w[i + 1] END), lambda x: x IS NOT NULL))"""
+_TRIMMED = "list_transform(list_filter(string_split_regex(text, '" + _SPACE + "'), lambda x: x <> ''), lambda x: trim(x, '.,!?;:''\"()[]'))"
+_GRAPH = f"""qn AS (SELECT q.user_id, q.text || coalesce(' What about ' || min(n.name) || '?', '') AS text FROM q LEFT JOIN n ON q.user_id = n.user_id GROUP BY q.user_id, q.text),
+qw AS (SELECT user_id, {_TRIMMED} AS w FROM qn), seeds AS (SELECT DISTINCT user_id, unnest({_NAMES}) AS node FROM qw), {_HOPS},
 found AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, id) AS place FROM hops)"""
 _MERGE = """m AS (SELECT user_id, id, 'ep:' || id AS key, 'vector' AS source, rank, score, coalesce(content, '') AS content, ts, surprisal, importance, decay, NULL::DOUBLE AS confidence FROM top
-  UNION ALL SELECT user_id, id, {}, 'graph', place, confidence, src || ' ' || predicate || ' ' || dst, NULL, NULL, NULL, NULL, confidence FROM found WHERE place <= 50),
+  UNION ALL SELECT user_id, id, {}, 'graph', place, confidence, src || ' ' || predicate || ' ' || dst || '. ', NULL, NULL, NULL, NULL, confidence FROM found WHERE place <= 50),
 merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY source DESC, rank) AS rn FROM m) WHERE rn = 1)"""
 
 
 def _fused(spark, d, mode):
-    q = questions(spark, d)
-    v = _top(spark, d, "content", "ts", "surprisal", "importance", "decay").withColumn("content", F.coalesce("content", F.lit("")))
-    n = nodes(spark, d).groupBy("user_id").agg(F.min("name").alias("node"))
-    seeds = q.select("query", "user_id").join(n, "user_id")
+    """Episodes near each question and facts near the names in it, to which that of the user's first entity is added; a question
+    without names has no facts."""
+    q = shared_checkpoint(questions(spark, d))
+    v = _top(spark, d, "content", "ts", "surprisal", "importance", "decay", asked=q).withColumn("content", F.coalesce("content", F.lit("")))
+    known = nodes(spark, d).groupBy("user_id").agg(F.min("name").alias("name"))
+    said = F.concat("text", F.coalesce(F.concat(F.lit(" What about "), "name", F.lit("?")), F.lit("")))
+    seeds = q.join(known, "user_id", "left").select("query", "user_id", F.explode(tx.entity_names(said)).alias("node")).distinct()
     w = Window.partitionBy("query").orderBy(F.desc("confidence"), "id")
-    g = graph.traverse(facts(spark, d), seeds, 2).withColumn("rank", F.row_number().over(w)).where("rank <= 50")
-    g = g.select("query", "user_id", "id", "rank", F.col("confidence").alias("score"), graph.fact_text("src", "predicate", "dst").alias("content"), "confidence")
+    g = graph.traverse(shared_checkpoint(facts(spark, d)), seeds, 2).withColumn("rank", F.row_number().over(w)).where("rank <= 50")
+    g = g.select("query", "user_id", "id", "rank", F.col("confidence").alias("score"), graph.fact_sentence("src", "predicate", "dst").alias("content"), "confidence", F.col("src").alias("subject"), "predicate", F.col("dst").alias("object"))
     return retrieval.merge_results(v, g, mode)
 
 
 _HEAD = f"WITH {E}, {V}, {Q}, {N}, {R}, {A}, {G}, {_TOP}, {_GRAPH}"
 _REF = _MERGE.format("'ep:'")
-_INT = _MERGE.format("'gf:' || src || ' ' || predicate || ' ' || dst")
+_INT = _MERGE.format("'gf:' || src || ':' || predicate || ':' || dst || '|'")
 
 
 @query("op60_merge_reference", f"{_HEAD}, {_REF} SELECT user_id, key, source, rank, round(score, 6) AS score FROM merged")
@@ -428,17 +486,18 @@ def op60i(spark, d):
 @query("op61_vector_branch_only", f"WITH {E}, {V}, {Q}, {_TOP} SELECT user_id, 'ep:' || id AS key, 'vector' AS source FROM top")
 def op61(spark, d):
     """The graph branch gave nothing: the union is the other branch."""
-    none = spark.createDataFrame([], "query string, user_id string, id string, rank int, score double, content string, confidence double")
+    none = spark.createDataFrame([], "query string, user_id string, id string, rank int, score double, content string, confidence double, subject string, predicate string, object string")
     v = _top(spark, d, "content", "ts", "surprisal", "importance", "decay")
     return retrieval.merge_results(v, none).select("user_id", "key", "source")
 
 
-@query("op69_provider_gain")
-def op69(spark, d):
+def _scored(spark, d, fallback: bool) -> DataFrame:
+    """Gain by a provider that fails where a result's content has an odd number of octets."""
     from recollect import providers
 
-    x = _top(spark, d, "content").join(questions(spark, d).select("user_id", "text"), "user_id")
-    return x.select("user_id", "id", F.round(providers.gain(providers.Offline(DIM), F.col("text"), F.col("content")), 6).alias("gain"))
+    m = _fused(spark, d, "reference").join(questions(spark, d).select("user_id", "text"), "user_id")
+    score = F.when(F.octet_length("content") % 2 == 0, providers.gain(providers.Offline(DIM), F.col("text"), F.col("content")))
+    return retrieval.rerank(m.withColumn("_score", score), F.lit(NOW_S), score=F.col("_score"), fallback=fallback)
 
 
 _GAIN = f"""gain AS (SELECT *, CASE WHEN source = 'graph' THEN 0.15 * confidence ELSE (score + 0.3 * exp(-(({NOW_S} - epoch_us(ts) // 1000000) / 3600.0) / 24)
@@ -447,7 +506,24 @@ ranked AS (SELECT * FROM gain WHERE gain > -0.5)"""
 
 
 def _ranked(spark, d):
-    return retrieval.rerank(_fused(spark, d, "reference"), F.lit(NOW_S))
+    """The ranked results of all questions: small, and used several times by what packs them."""
+    return shared_checkpoint(retrieval.rerank(_fused(spark, d, "reference"), F.lit(NOW_S)))
+
+
+# Overlap of words, as the offline provider scores it, with the heuristic or nothing where that fails.
+_DIG = """qs AS (SELECT user_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')) AS qw FROM q),
+dig AS (SELECT g.user_id, key, gain AS heuristic, CASE WHEN strlen(content) % 2 = 0 THEN
+  len(list_intersect(qw, list_distinct(list_filter(string_split_regex(lower(content), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')))) / greatest(len(qw), 1) END AS score FROM gain g JOIN qs USING (user_id))"""
+
+
+@query("op69_provider_gain", f"{_HEAD}, {_REF}, {_GAIN}, {_DIG} SELECT user_id, key, round(coalesce(score, heuristic), 5) AS gain FROM dig WHERE coalesce(score, heuristic) > -0.5")
+def op69(spark, d):
+    return _scored(spark, d, True).select("user_id", "key", F.round("gain", 5).alias("gain"))
+
+
+@query("op69_provider_only", f"{_HEAD}, {_REF}, {_GAIN}, {_DIG} SELECT user_id, key, round(score, 5) AS gain FROM dig WHERE score > -0.5")
+def op69o(spark, d):
+    return _scored(spark, d, False).select("user_id", "key", F.round("gain", 5).alias("gain"))
 
 
 @query("op71_rerank", f"{_HEAD}, {_REF}, {_GAIN} SELECT user_id, key, round(gain, 5) AS gain FROM ranked")
@@ -502,12 +578,25 @@ def op73(spark, d):
 # --- consolidation
 
 
-@query("op63_dbscan")
+_DBSCAN = f"""WITH RECURSIVE {E}, {_BATCH}, v AS (SELECT id, user_id, pos, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM b WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (SELECT l.user_id, l.pos AS p, r.pos AS o FROM v l JOIN v r ON l.user_id = r.user_id WHERE 1 - list_cosine_similarity(l.x, r.x) <= 0.3 + 1e-12),
+core AS (SELECT user_id, p FROM near GROUP BY user_id, p HAVING count(*) >= 3),
+link AS (SELECT n.user_id, n.p, n.o FROM near n SEMI JOIN core a ON n.user_id = a.user_id AND n.p = a.p SEMI JOIN core c ON n.user_id = c.user_id AND n.o = c.p),
+reach AS (SELECT user_id, p, p AS o FROM core UNION SELECT r.user_id, r.p, l.o FROM reach r JOIN link l ON r.user_id = l.user_id AND r.o = l.p),
+root AS (SELECT user_id, p, min(o) AS root FROM reach GROUP BY user_id, p),
+number AS (SELECT user_id, p, dense_rank() OVER (PARTITION BY user_id ORDER BY root) AS cluster FROM root),
+border AS (SELECT n.user_id, n.p, min(c.cluster) AS cluster FROM near n JOIN number c ON n.user_id = c.user_id AND n.o = c.p ANTI JOIN core ON n.user_id = core.user_id AND n.p = core.p GROUP BY n.user_id, n.p),
+label AS (SELECT b.user_id, b.id, b.pos, coalesce(number.cluster, border.cluster, -b.pos)::INT AS cluster FROM b LEFT JOIN number ON b.user_id = number.user_id AND b.pos = number.p
+  LEFT JOIN border ON b.user_id = border.user_id AND b.pos = border.p)"""
+
+
+@query("op63_dbscan", f"{_DBSCAN} SELECT user_id, id, cluster FROM label")
 def op63(spark, d):
     return con.dbscan(con.pending_batch(eps(spark, d, "id", "user_id", "ts", "status", "embedding")), DIM)
 
 
-@query("op41_clusters")
+@query("op41_clusters", f"{_DBSCAN} SELECT user_id, cluster, string_agg(id, ',' ORDER BY pos) AS ids FROM label GROUP BY user_id, cluster")
 def op41(spark, d):
     b = con.pending_batch(eps(spark, d, "id", "user_id", "ts", "status", "embedding"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
@@ -552,9 +641,8 @@ def op67(spark, d):
     return x.select("id", F.date_format(from_micros("closed_us"), SECOND).alias("closed_at"), F.round("new_confidence", 6).alias("confidence"))
 
 
-@query("op68_consolidate")
-def op68(spark, d):
-    """One run: pending batch, clusters, gists, facts, and the episodes' new state."""
+def _run(spark, d):
+    """One run: (clustered batch, gists with facts). The provider fails for clusters of one episode without content."""
     from recollect import providers
 
     p = providers.Offline(DIM)
@@ -562,9 +650,36 @@ def op68(spark, d):
     c = con.dbscan(b, DIM).join(b.select("id", "pos", "ts", "content"), "id")
     rows = F.array_sort(F.collect_list(F.struct("pos", "id", "ts", F.coalesce("content", F.lit("")).alias("content"))))
     g = c.groupBy("user_id", "cluster").agg(rows.alias("r"))
-    g = g.withColumn("gist", providers.synthesize(p, con.gist_prompt(F.col("r"))))
-    g = g.withColumn("facts", con.parse_facts(providers.extract_facts(p, F.col("gist"))))
-    return g.select("user_id", "cluster", F.get(F.col("r"), F.lit(0))["id"].alias("source_ep_id"), F.size("r").alias("episodes"), F.size("facts").alias("facts"), "gist")
+    said = F.exists("r", lambda x: x["content"] != "")
+    g = g.withColumn("gist", F.when(said, providers.synthesize(p, con.gist_prompt(F.col("r")))))
+    return c, g.withColumn("facts", con.parse_facts(providers.extract_facts(p, F.col("gist")))).withColumn("source_ep_id", F.get("r", F.lit(0))["id"])
+
+
+@query("op68_consolidate")
+def op68(spark, d):
+    """Gists and the number of facts of each cluster of one run."""
+    _, g = _run(spark, d)
+    return g.select("user_id", "cluster", "source_ep_id", F.size("r").alias("episodes"), F.size("facts").alias("facts"), "gist")
+
+
+@query("op68_episodes", f"""{_DBSCAN}, said AS (SELECT l.user_id, l.cluster FROM label l JOIN e USING (id) WHERE e.content <> '' GROUP BY l.user_id, l.cluster),
+done AS (SELECT l.id FROM label l SEMI JOIN said ON l.user_id = said.user_id AND l.cluster = said.cluster)
+SELECT e.id, CASE WHEN done.id IS NOT NULL THEN 'consolidated' ELSE status END AS status, CASE WHEN done.id IS NOT NULL THEN 0.95 ELSE decay END::DOUBLE AS decay FROM e LEFT JOIN done ON e.id = done.id""")
+def op68e(spark, d):
+    """The episodes after the run: consolidated and decayed, but those of clusters for which the provider failed stay pending."""
+    batch, g = _run(spark, d)
+    return con.consolidated(eps(spark, d, "id", "status", "decay"), batch, g)
+
+
+@query("op68_graph")
+def op68g(spark, d):
+    """The graph after the run: contradicted facts closed, those of the gists written."""
+    _, g = _run(spark, d)
+    t = g.select("user_id", "source_ep_id", F.explode("facts").alias("f")).select("user_id", "f.*", "source_ep_id")
+    e = facts(spark, d).withColumn("valid_to", F.lit(None).cast("timestamp_ntz")).withColumn("source_ep_id", F.lit(""))
+    n, e = graph.insert_triples(nodes(spark, d), graph.close_conflicts(e, t, ntz(NOW)), t, ntz(NOW))
+    counts = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("valid_to").isNotNull()).alias("closed"))
+    return n.groupBy("user_id").agg(F.count(F.lit(1)).alias("nodes")).join(counts, "user_id", "left")
 
 
 # --- scalar functions
@@ -604,15 +719,20 @@ def op81(spark, d):
     return turns(spark, d).where("content is not null").select("turn_id", F.size(tx.tokenize(F.col("content"))).cast("long").alias("n"))
 
 
-@query("op81_truncate", f"""WITH {T}, h AS (SELECT turn_id, content, left(content, 60) AS h, regexp_extract(left(content, 60), '^(.*) ', 1, 's') AS c FROM t WHERE content IS NOT NULL)
-SELECT turn_id, CASE WHEN strlen(content) <= 60 THEN content WHEN length(c) > 30 THEN c || '...' ELSE h || '...' END AS short FROM h""")
+@query("op81_truncate", f"""WITH {T}, h AS (SELECT turn_id, content, left(content, list_max(list_filter(range(0, 61), lambda k: strlen(left(content, k)) <= 60))) AS h FROM t WHERE content IS NOT NULL),
+c AS (SELECT *, regexp_extract(h, '^(.*) ', 1, 's') AS c FROM h)
+SELECT turn_id, CASE WHEN strlen(content) <= 60 THEN content WHEN strlen(c) > 30 THEN c || '...' ELSE h || '...' END AS short FROM c""")
 def op81t(spark, d):
     return turns(spark, d).where("content is not null").select("turn_id", tx.truncate(F.col("content"), 60).alias("short"))
 
 
-@query("op82_log_tail", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+@query("op82_log_tail", """SELECT event_id, module, event_type AS msg, row_number() OVER (ORDER BY ts, event_id) AS place FROM
+(SELECT *, CASE WHEN event_id % 3 = 0 THEN 'system' ELSE 'api' END AS module FROM events ORDER BY ts DESC, event_id DESC LIMIT 50)""")
 def op82(spark, d):
-    return requests.log_tail(table(spark, d, "events").select("event_id", "event_type", "ts"), "ts", "event_id").select("event_id", "event_type")
+    module = F.when(F.col("event_id") % 3 != 0, F.lit("api"))
+    lines = table(spark, d, "events").select("event_id", F.to_json(F.struct("ts", module.alias("module"), F.concat_ws("|", "event_id", "event_type").alias("msg"))).alias("value"))
+    logs = requests.log_entries(lines).withColumn("event_id", F.split("msg", "[|]")[0].cast("long")).withColumn("msg", F.split("msg", "[|]")[1])
+    return requests.log_tail(logs, "ts", "event_id").select("event_id", "module", "msg", "place")
 
 
 @query("op84_dates", f"WITH {T} SELECT turn_id, epoch_us(ts) // 1000000 AS unix_s, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc3339, strftime(ts, '%H%M%S') AS turn_key FROM t WHERE ts IS NOT NULL")
@@ -643,11 +763,34 @@ def op88(spark, d):
     return _activity(spark, d).select("user_id", F.date_format("last", SECOND).alias("last"))
 
 
-@query("op89_due", f"""WITH {E}, {T}, {_ACT}, p AS (SELECT user_id, count(*) AS pending FROM e WHERE status = 'pending' GROUP BY user_id)
-SELECT user_id, CASE WHEN TIMESTAMP '{NOW}' - last > INTERVAL 15 MINUTE THEN 'inactivity_timeout' ELSE 'episode_count' END AS reason
-FROM act LEFT JOIN p USING (user_id) WHERE TIMESTAMP '{NOW}' - last > INTERVAL 15 MINUTE OR coalesce(pending, 0) >= 10""")
+_SEEN = _ACT.replace("ts IS NOT NULL", f"ts <= TIMESTAMP '{TICK}'").replace("act AS", "seen AS")
+_DUE = f"""{_SEEN}, p AS (SELECT user_id, count(*) AS pending FROM e WHERE status = 'pending' GROUP BY user_id),
+ticks AS (SELECT TIMESTAMP '{TICK}' + m * INTERVAL 1 MINUTE AS tick, m FROM (VALUES (0), (1), (5), (6)) v(m)),
+due AS (SELECT user_id, tick, m, CASE WHEN tick - last > INTERVAL 15 MINUTE THEN 'inactivity_timeout' ELSE 'max_unconsolidated' END AS reason FROM ticks, seen LEFT JOIN p USING (user_id)
+  WHERE tick - last > INTERVAL 15 MINUTE OR coalesce(pending, 0) >= 10)"""
+
+
+def _seen(spark, d):
+    x = turns(spark, d).select("user_id", "ts").unionByName(eps(spark, d, "user_id", "ts"))
+    return x.where("user_id is not null").where(F.col("ts") <= ntz(TICK)).groupBy("user_id").agg(F.max("ts").alias("last"))
+
+
+@query("op89_due", f"WITH {E}, {T}, {_DUE} SELECT user_id, reason FROM due WHERE m = 0")
 def op89(spark, d):
-    return con.due(_activity(spark, d), op35(spark, d), ntz(NOW)).select("user_id", "reason")
+    return con.due(_seen(spark, d), op35(spark, d), ntz(TICK)).select("user_id", "reason")
+
+
+@query("op90_ticks", f"""WITH RECURSIVE {E}, {T}, {_DUE}, jobs AS (SELECT user_id, min(m) AS m FROM due GROUP BY user_id UNION ALL
+  SELECT j.user_id, (SELECT min(d.m) FROM due d WHERE d.user_id = j.user_id AND d.m >= j.m + 5) FROM jobs j WHERE (SELECT min(d.m) FROM due d WHERE d.user_id = j.user_id AND d.m >= j.m + 5) IS NOT NULL)
+SELECT user_id, reason, strftime(tick, '%Y-%m-%d %H:%M:%S') AS sent_at FROM jobs JOIN due USING (user_id, m)""")
+def op90(spark, d):
+    """The scheduler over four ticks: a job holds its user for five minutes."""
+    active_, pending = shared_checkpoint(_seen(spark, d)), shared_checkpoint(op35(spark, d))
+    holds, out = spark.createDataFrame([], "user_id string, until timestamp_ntz"), None
+    for m in (0, 1, 5, 6):
+        jobs, holds = con.tick(active_, pending, holds, ntz(TICK) + F.expr(f"interval {m} minutes"))
+        out = jobs if out is None else out.unionByName(jobs)
+    return out.select("user_id", "reason", F.date_format("at", SECOND).alias("sent_at"))
 
 
 @query("op92_session_windows", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -96,6 +96,20 @@ g AS (SELECT *, sum(cut) OVER (PARTITION BY from_entity_id, relation_type ORDER
 SELECT from_entity_id, relation_type, any_value(to_entity_id) AS to_entity_id, strftime(min(f), '%Y-%m-%d %H:%M:%S') AS valid_from_at,
        CASE WHEN max(e) >= TIMESTAMP '9999-01-01' THEN 'open' ELSE strftime(max(e), '%Y-%m-%d %H:%M:%S') END AS valid_to_at
 FROM g GROUP BY from_entity_id, relation_type, i""",
+    # Each statement is held from its recording until another of the same start; between, later ones that start after it cut it short.
+    "p2_ledger": f"""
+WITH a AS ({_ROWS.format('true')}),
+b AS (SELECT * FROM (SELECT *, coalesce(r, TIMESTAMP '0001-01-01') AS rec, row_number() OVER (PARTITION BY from_entity_id, relation_type, f, r ORDER BY coalesce(t, TIMESTAMP '9999-01-01') DESC, to_entity_id DESC) AS n FROM a) WHERE n = 1),
+c AS (SELECT *, lag(coalesce(t, TIMESTAMP '9999-01-01')) OVER w IS NOT DISTINCT FROM coalesce(t, TIMESTAMP '9999-01-01') AND lag(to_entity_id) OVER w IS NOT DISTINCT FROM to_entity_id AND lag(rec) OVER w IS NOT NULL AS same
+      FROM b WINDOW w AS (PARTITION BY from_entity_id, relation_type, f ORDER BY rec)),
+s AS (SELECT from_entity_id, relation_type, to_entity_id, f, t, rec, lead(rec) OVER (PARTITION BY from_entity_id, relation_type, f ORDER BY rec) AS until FROM c WHERE NOT same),
+x AS (SELECT s.*, s.rec AS at_ FROM s UNION SELECT s.*, l.rec FROM s JOIN s l ON s.from_entity_id = l.from_entity_id AND s.relation_type = l.relation_type AND l.f > s.f AND l.rec > s.rec AND (s.until IS NULL OR l.rec < s.until)),
+y AS (SELECT x.from_entity_id, x.relation_type, x.to_entity_id, x.f, x.t, x.rec, x.until, x.at_, least(coalesce(x.t, TIMESTAMP '9999-01-01'), coalesce(min(l.f), TIMESTAMP '9999-01-01')) AS e
+      FROM x LEFT JOIN s l ON x.from_entity_id = l.from_entity_id AND x.relation_type = l.relation_type AND l.f > x.f AND l.rec <= x.at_ GROUP BY x.from_entity_id, x.relation_type, x.to_entity_id, x.f, x.t, x.rec, x.until, x.at_),
+z AS (SELECT *, lag(e) OVER w IS DISTINCT FROM e AS new FROM y WINDOW w AS (PARTITION BY from_entity_id, relation_type, f, rec ORDER BY at_)),
+k AS (SELECT *, coalesce(lead(at_) OVER (PARTITION BY from_entity_id, relation_type, f, rec ORDER BY at_), until) AS to_ FROM z WHERE new)
+SELECT from_entity_id, relation_type, to_entity_id, strftime(f, '%Y-%m-%d %H:%M:%S') AS valid_from_at, CASE WHEN e >= TIMESTAMP '9999-01-01' THEN 'open' ELSE strftime(e, '%Y-%m-%d %H:%M:%S') END AS valid_to_at,
+       strftime(at_, '%Y-%m-%d %H:%M:%S') AS recorded_from_at, coalesce(strftime(to_, '%Y-%m-%d %H:%M:%S'), 'open') AS recorded_to_at FROM k""",
     "p3_found": f"""
 WITH a AS ({_ROWS.format('false')}),
 b AS (SELECT DISTINCT from_entity_id, f, coalesce(t, TIMESTAMP '9999-01-01') AS e FROM a),

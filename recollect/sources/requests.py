@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INGEST = "user_id string, content string, role string"
@@ -26,9 +26,16 @@ def job_payload(user: Column) -> Column:
     return F.to_json(F.struct(user.alias("user_id")))
 
 
+def log_entries(lines: DataFrame, column: str = "value") -> DataFrame:
+    """JSON log lines as (ts, level, module, msg); a line without a module belongs to ``system``; malformed lines are left out."""
+    x = lines.select(F.from_json(column, "ts timestamp_ntz, level string, module string, msg string").alias("r")).select("r.*")
+    return x.where("msg is not null").withColumn("module", F.coalesce(F.nullif("module", F.lit("")), F.lit("system")))
+
+
 def log_tail(logs: DataFrame, at: str, tie: str, rows: int = LOG_ROWS) -> DataFrame:
-    """The last rows in order: a top-k, never a full sort."""
-    return logs.orderBy(F.desc(at), F.desc(tie)).limit(rows)
+    """The last rows in order of arrival, numbered in ``place``: a top-k, never a full sort."""
+    last = logs.orderBy(F.desc(at), F.desc(tie)).limit(rows)
+    return last.withColumn("place", F.row_number().over(Window.orderBy(at, tie)))
 
 
 def histogram(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:

@@ -35,7 +35,7 @@ def triggers(events: DataFrame, idle_minutes: int = 15, most: int = 10, hold_min
                     last = max(last, ms)
                     pending += kind == "ingest"
                     if pending >= most and ms - sent >= hold_minutes * 60_000:
-                        out.append((key[0], "episode_count", pending, ts))
+                        out.append((key[0], "max_unconsolidated", pending, ts))
                         sent, pending = ms, 0
         state.update((last, pending, sent))
         until = last + idle_minutes * 60_000 + 1

@@ -36,7 +36,7 @@ def test_triggers(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(x.user_id, x.reason, x.pending) for x in run(activity.triggers(stream), "triggers")}
-    assert got == {("a", "episode_count", 10), ("b", "inactivity_timeout", 1)}
+    assert got == {("a", "max_unconsolidated", 10), ("b", "inactivity_timeout", 1)}
 
 
 def test_session_windows(spark, tmp_path):
