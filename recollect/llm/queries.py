@@ -50,7 +50,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return nearest(_vectors(spark, d), "user_id", "id", "embedding", 5)
+    near = nearest(_vectors(spark, d), "user_id", "id", "embedding", 5)
+    return near.select("user_id", "id", "neighbour", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +63,16 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces(table(spark, d, "episodes"), "id", "content").withColumnRenamed("id", "episode_id")
 
 
+def p6_whole(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each episode amount to: without the overlaps they are the text, none is too long, and each but the first
+    repeats some of the one before."""
+    p = p6_pieces(spark, d).withColumn("new", F.expr("substring(content, cast(new_pos - start_pos as int) + 1)"))
+    new = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "new"))), lambda x: x["new"]), "")
+    repeats = F.min(F.when(F.col("piece") > 0, F.col("new_pos") > F.col("start_pos")))
+    out = p.groupBy("episode_id").agg(F.md5(new).alias("text"), (F.max("n_tokens") <= 500).alias("fits"), (F.count(F.lit(1)) >= 2).alias("cut"), repeats.alias("overlaps"))
+    return out
+
+
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
     return similarity_clusters(_vectors(spark, d), "user_id", "id", "embedding", SIMILAR)
 
@@ -114,7 +125,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_redacted": p1_redacted, "p4_found": p4_found, "p4_neighbours": p4_neighbours,
-    "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_contexts": p8_contexts, "p8_room": p8_room, "p9_found": p9_found,
+    "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_whole": p6_whole, "p7_found": p7_found, "p7_clusters": p7_clusters, "p8_contexts": p8_contexts, "p8_room": p8_room, "p9_found": p9_found,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
@@ -128,5 +139,17 @@ WITH {_USABLE},
 s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.user_id = b.user_id AND a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) AS n FROM s WHERE s >= 0.85)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE n <= 5""",
+    "p6_whole": "SELECT DISTINCT id AS episode_id, md5(content) AS text, true AS fits, true AS cut, true AS overlaps FROM episodes WHERE strlen(content) // 4 > 500",
+    # where similar episodes are all similar to each other, a cluster is the smallest id of an episode and those near it
+    "p7_found": f"""
+WITH {_USABLE},
+s AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.user_id = b.user_id WHERE a.id = b.id OR list_cosine_similarity(a.v, b.v) >= 0.85),
+c AS (SELECT a AS episode_id, min(b) AS cluster_id FROM s GROUP BY a)
+SELECT * FROM c WHERE cluster_id IN (SELECT cluster_id FROM c GROUP BY cluster_id HAVING count(*) >= 3)""",
+    "p4_neighbours": f"""
+WITH {_USABLE},
+s AS (SELECT a.user_id, a.id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.user_id = b.user_id AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, neighbour) AS rank FROM s)
+SELECT user_id, id, neighbour, rank, round(s, 6) AS similarity FROM r WHERE rank <= 5""",
     "p6_found": "SELECT DISTINCT id AS episode_id FROM episodes WHERE strlen(content) // 4 > 500",
 }

@@ -172,25 +172,28 @@ def shares_of(column: pa.ListArray, model: np.ndarray, none: float) -> np.ndarra
     return out / np.maximum(np.bincount(doc, size, len(column)), 1)[:, None]
 
 
-def _measured(docs: DataFrame, models: list[list[np.ndarray]], nones: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """(votes, shares) by document, model with advantage of "none", class; ``docs`` (words, votes, fold) is a bounded sample;
-    ``models``: those of each fold."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _measured(docs: DataFrame, counts: list[np.ndarray], leans: list[float], nones: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, shares) by document, lean with advantage of "none", class; ``docs`` (words, votes, fold) is a bounded sample;
+    ``counts``: those of each fold's models, made where they are used."""
+    shared = docs.sparkSession.sparkContext.broadcast([c.astype(np.float32) for c in counts])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: dict[int, list[np.ndarray]] = {}
         for b in batches:
             fold = b.column(2).to_numpy()
             for f in np.unique(fold):
                 part = b.filter(pa.array(fold == f))
-                s = np.concatenate([shares_of(part.column(0), m, none) for m in shared.value[f] for none in nones], axis=1)
+                if f not in models:
+                    models[f] = [weights(shared.value[f % len(counts)].astype(float), x) for x in leans]
+                s = np.concatenate([shares_of(part.column(0), m, none) for m in models[f] for none in nones], axis=1)
                 off = pa.array(np.arange(0, s.size + 1, s.shape[1], dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(off, pa.array(s.reshape(-1)))], names=["votes", "share"])
 
     t = docs.select("words", "votes", "fold").mapInArrow(run, "votes array<double>, share array<double>").toArrow()
     shared.destroy()
-    k = models[0][0].shape[1]
+    k = len(counts[0])
     flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0)
-    return flat("votes").reshape(-1, k), flat("share").reshape(t.num_rows, len(models[0]) * len(nones), k)
+    return flat("votes").reshape(-1, k), flat("share").reshape(t.num_rows, len(leans) * len(nones), k)
 
 
 def _loss(vote: np.ndarray, share: np.ndarray) -> float:
@@ -232,16 +235,18 @@ def subject_areas(docs: DataFrame, id_col: str, text_col: str, labels: DataFrame
     by_fold = [_total(some.where(F.col("fold") == f).select("words", split.alias("votes")).mapInArrow(_counts(k), shape), k) for f in range(FOLDS)]
     labelled = sum(by_fold)
     tuned = some.orderBy(F.xxhash64("id"), "id").limit(MAX_TUNED)
-    vote, share = _measured(tuned, [[weights(labelled - n, x) for x in LEANS] for n in by_fold], list(NONES))
+    vote, share = _measured(tuned, [labelled - n for n in by_fold], list(LEANS), list(NONES))
     best = int(np.argmin([_loss(vote, share[:, i]) for i in range(share.shape[1])])) if len(vote) else 0
     lean, none = LEANS[best // len(NONES)], NONES[best % len(NONES)]
-    model = weights(labelled, lean)
+    counts = labelled
+    model = weights(counts, lean)
     for _ in range(rounds if len(vote) else 0):
         shared = spark.sparkContext.broadcast(model)
         found = _total(words.select("words").mapInArrow(_counts(k, shared, none), shape), k)
-        model = weights(labelled + found, lean)
+        counts = labelled + found
+        model = weights(counts, lean)
         shared.destroy()
-    vote, share = _measured(some, [[model]] * FOLDS, [none])
+    vote, share = _measured(some, [counts], [lean], [none])
     curves = [_calibrate(share[:, 0, c], (vote[:, c] > 0).astype(float)) if len(share) else (-30.0, 0.0) for c in range(k - 1)]
     shared = spark.sparkContext.broadcast(model)
     kind = words.schema["id"].dataType.simpleString()
