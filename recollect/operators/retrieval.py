@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import count_tokens
-from recollect.functions.vectors import cosine_similarity
+from recollect.functions.vectors import dot, norm
 from recollect.sources.tables import micros
 
 TOP_K, FACT_LIMIT, BUDGET, TURNS, MIN_GAIN = 20, 50, 4_096, 3, -0.5
@@ -14,9 +14,12 @@ TURN_VALUE = 1_000.0
 
 
 def top_k(episodes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
-    """The ``k`` episodes most similar to each query (query, user_id, vector) of its user: exact, ties by id. The limit
-    is applied before the shuffle as well (window group limit), so a hot user's rows are not all moved."""
-    x = episodes.join(queries, "user_id").withColumn("score", cosine_similarity(F.col("embedding"), F.col("vector"))).drop("vector")
+    """The ``k`` episodes most similar to each query (query, user_id, vector) of its user: exact, similarity to nine places, ties by
+    id; an id that is stored again counts once, and is dropped when its vector is no longer carried. The limit is applied before the shuffle as well (window group limit), so a hot user's rows are not all moved."""
+    unit = queries.select("query", "user_id", "vector", norm(F.col("vector")).alias("_length"))
+    x = episodes.join(unit, "user_id")
+    score = F.round(dot(F.col("embedding"), F.col("vector")) / (norm(F.col("embedding")) * F.col("_length")), 9)
+    x = x.withColumn("score", score).drop("vector", "embedding", "_length").dropDuplicates(["query", "id"])
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -24,7 +27,7 @@ def top_k(episodes: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
 def merge_results(vector: DataFrame, graph: DataFrame, mode: str = "reference") -> DataFrame:
     """(query, key, source, rank, score, content, ...): episodes first, then facts, each key once. In reference mode all
     facts share the key ``ep:``, so one fact per query remains, that of the highest confidence; in intended mode each
-    distinct fact has its own."""
+    distinct fact has its own, of its subject, predicate and object (columns of ``graph``)."""
     v = vector.withColumn("source", F.lit("vector")).withColumn("key", F.concat(F.lit("ep:"), F.col("id")))
     key = F.lit("ep:") if mode == "reference" else F.concat(F.lit("gf:"), F.concat_ws(":", "subject", "predicate", "object"), F.lit("|"))
     g = graph.withColumn("source", F.lit("graph")).withColumn("key", key)

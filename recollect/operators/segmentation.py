@@ -61,14 +61,14 @@ def segments(tokens: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS)
     )
 
 
-def episodes(segs: DataFrame, role: str = "user") -> DataFrame:
+def episodes(segs: DataFrame, role: str = "user", keep: list[str] = ()) -> DataFrame:
     """Episode rows with their defaults: importance is the surprisal, the larger of mean and maximum. Ids come from the
     natural key, so a rerun gives the same."""
     s = F.greatest("avg_s", "max_s")
     return segs.select(
         F.sha2(F.concat_ws("|", "user_id", "turn_id", "seg"), 256).alias("id"), "user_id", "content", "at", F.lit("episodic").alias("memory_type"),
         s.alias("importance_score"), F.lit("pending").alias("consolidation_status"), s.alias("surprisal_value"),
-        F.lit(1.0).alias("decay_factor"), F.col("n_tokens").alias("token_count"), F.lit(role).alias("role"),
+        F.lit(1.0).alias("decay_factor"), F.col("n_tokens").alias("token_count"), F.lit(role).alias("role"), *keep,
     )
 
 

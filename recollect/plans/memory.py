@@ -10,7 +10,7 @@ from recollect.functions import vectors as vx
 from recollect.operators import consolidation as con
 from recollect.operators import graph, retrieval, segmentation, store
 from recollect.session import shared_checkpoint
-from recollect.sources import requests
+from recollect.sources import metrics, requests
 from recollect.sources.tables import from_micros, micros, table, type_key, user_key
 
 DIM = 64
@@ -177,12 +177,28 @@ def op11(spark, d):
     return n.where("n >= 10").select(requests.job_payload(F.col("user_id")).alias("payload"))
 
 
-@query("op12_embed")
+@query("op12_embed", f"WITH {T} SELECT turn_id, 64 AS size, regexp_matches(content, '[\\p{{L}}\\p{{N}}_]') AS unit FROM t WHERE content IS NOT NULL")
 def op12(spark, d):
+    """The sizes of the vectors, and whether they have length 1, as all with a word have."""
     from recollect import providers
 
-    t = turns(spark, d).where("content is not null")
-    return t.select("turn_id", F.size(providers.embed(providers.Offline(DIM), F.col("content"))).alias("size"))
+    t = turns(spark, d).where("content is not null").select("turn_id", providers.embed(providers.Offline(DIM), F.col("content")).alias("v"))
+    return t.select("turn_id", F.size("v").alias("size"), (F.abs(vx.norm(F.col("v")) - 1) < 1e-3).alias("unit"))
+
+
+@query("op96_token_probabilities", f"WITH {T}, {{W}} SELECT turn_id, pos AS \"offset\", word AS token, -s::DOUBLE AS log_prob FROM w")
+def op96(spark, d):
+    from recollect import providers
+
+    t = turns(spark, d).where("user_id is not null and ts is not null and content is not null")
+    return t.select("turn_id", F.explode(providers.token_probabilities(providers.Offline(DIM), F.col("content"))).alias("x")).select("turn_id", F.col("x.offset").cast("long").alias("offset"), "x.token", "x.log_prob")
+
+
+@query("op96_count_tokens", f"WITH {T} SELECT turn_id, CASE WHEN content = '' THEN 0 ELSE greatest(1, strlen(content) // 4) END AS n FROM t WHERE content IS NOT NULL")
+def op96c(spark, d):
+    from recollect import providers
+
+    return turns(spark, d).where("content is not null").select("turn_id", providers.count_tokens(providers.Offline(DIM), F.col("content")).cast("long").alias("n"))
 
 
 # --- filters and projections
@@ -344,6 +360,7 @@ W = f"""w0 AS (SELECT user_id, ts, turn_id, list_filter(string_split_regex(conte
 w1 AS (SELECT user_id, ts, turn_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM w0),
 w AS (SELECT *, CASE WHEN regexp_matches(lag(word) OVER (PARTITION BY turn_id, user_id, ts ORDER BY pos), '[.!?]$') THEN 4.0 ELSE 1.0 END
   + CASE WHEN strlen(word) > 8 THEN 1.5 ELSE 0 END + CASE WHEN contains(word, '?') OR contains(word, '!') THEN 2.0 ELSE 0 END AS s FROM w1)"""
+ORACLE["op96_token_probabilities"] = ORACLE["op96_token_probabilities"].replace("{W}", W)
 ROLL = """k AS (SELECT *, count(*) OVER z AS n, sum((2 * s)::BIGINT) OVER z AS a, sum((4 * s * s)::BIGINT) OVER z AS b FROM w WINDOW z AS (PARTITION BY user_id ORDER BY ts, turn_id, pos ROWS 49 PRECEDING)),
 roll AS (SELECT *, n * 2 * s - a AS lead_, n * b - a * a AS spread FROM k),
 above AS (SELECT *, lead_ > 0 AND lead_ * lead_ > spread * 6.25 AS above FROM roll)"""
@@ -395,9 +412,18 @@ def op47(spark, d):
     return _segs(spark, d).select("turn_id", "seg", F.col("n_tokens").cast("long").alias("n_tokens"), F.round("avg_s", 6).alias("avg_s"), "max_s", "content")
 
 
-@query("op87_episodes")
+@query("op87_episodes", f"""SELECT user_id, x.turn_id, x.seg, x.content, greatest(x.avg_s, x.max_s) AS surprisal, greatest(x.avg_s, x.max_s) AS importance, 'pending' AS status, 1.0::DOUBLE AS decay, x.n_tokens AS token_count
+FROM ({_SEG}) x JOIN (SELECT DISTINCT turn_id, nullif(lower(trim(user_id)), '') AS user_id FROM turns) y ON x.turn_id = y.turn_id""")
 def op87(spark, d):
-    return segmentation.episodes(_segs(spark, d))
+    e = segmentation.episodes(_segs(spark, d), keep=["turn_id", "seg"])
+    return e.select("user_id", "turn_id", "seg", "content", F.round("surprisal_value", 6).alias("surprisal"), F.round("importance_score", 6).alias("importance"),
+                    F.col("consolidation_status").alias("status"), F.col("decay_factor").alias("decay"), F.col("token_count").cast("long").alias("token_count"))
+
+
+@query("op87_single", f"WITH {T} SELECT turn_id, user_id, 1.0::DOUBLE AS surprisal_value, CASE WHEN content = '' THEN 0 ELSE greatest(1, strlen(content) // 4) END AS token_count FROM t WHERE content IS NOT NULL")
+def op87s(spark, d):
+    """Whole texts as episodes, where no probabilities are to be had."""
+    return segmentation.single_episode(turns(spark, d).where("content is not null")).select("turn_id", "user_id", "surprisal_value", F.col("token_count").cast("long").alias("token_count"))
 
 
 _LAST = "l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, turn_id DESC) AS back FROM t WHERE user_id IS NOT NULL AND ts IS NOT NULL)"
@@ -421,10 +447,12 @@ _TOP = """top AS (SELECT * FROM (SELECT v.*, round(list_cosine_similarity(v.x, q
 
 
 def _top(spark, d, *cols, asked=None):
+    """Only ids, users and vectors go through the scoring; the other columns are joined to the few rows found."""
     q = (questions(spark, d) if asked is None else asked).select("query", "user_id", "vector")
-    x = usable(spark, d, *cols).join(q, "user_id").withColumn("score", F.round(vx.cosine_similarity(F.col("embedding"), F.col("vector")), 9))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return x.drop("vector", "embedding").withColumn("rank", F.row_number().over(w)).where("rank <= 20")
+    e = table(spark, d, "episodes").where("id is not null").select("id", user_key(F.col("user_id")).alias("user_id"), "embedding")
+    e = e.where(F.col("user_id").isNotNull() & vx.usable(F.col("embedding"), DIM))
+    found = retrieval.top_k(e, q, 20)
+    return found.join(eps(spark, d, "id", *cols), "id") if cols else found
 
 
 @query("op54_vector_topk", f"WITH {E}, {V}, {Q}, {_TOP} SELECT user_id, id, rank, round(score, 6) AS score FROM top")
@@ -813,3 +841,47 @@ def op95c(spark, d):
     e = eps(spark, d, "status").agg(F.count(F.lit(1)).alias("episodes"), F.count_if(F.col("status") == "consolidated").alias("consolidated"), F.lit(0).cast("long").alias("active_edges"))
     a = active(spark, d).agg(F.lit(0).cast("long").alias("episodes"), F.lit(0).cast("long").alias("consolidated"), F.count(F.lit(1)).alias("active_edges"))
     return e.unionByName(a).agg(*[F.sum(c).alias(c) for c in ("episodes", "consolidated", "active_edges")])
+
+
+def _buckets(name: str, value: str, source: str, label: str = "''") -> str:
+    """SQL of a histogram's lines."""
+    le = lambda b: f"concat_ws(',', nullif(lab, ''), 'le=\"{b}\"')"
+    x = f"(SELECT {label} AS lab, ({value})::DOUBLE AS v FROM {source} WHERE ({value}) IS NOT NULL)"
+    parts = [f"SELECT '{name}_bucket' AS metric, {le(f'{b:g}')} AS labels, count(*) FILTER (v <= {b})::DOUBLE AS value FROM {x} GROUP BY lab" for b in metrics.HISTOGRAMS[name]]
+    parts += [f"SELECT '{name}_bucket', {le('+Inf')}, count(*)::DOUBLE FROM {x} GROUP BY lab", f"SELECT '{name}_sum', lab, sum(v) FROM {x} GROUP BY lab", f"SELECT '{name}_count', lab, count(*)::DOUBLE FROM {x} GROUP BY lab"]
+    return " UNION ALL ".join(parts)
+
+
+_METRICS = " UNION ALL ".join([
+    "SELECT 'ingest_episodes_total' AS metric, '' AS labels, count(*)::DOUBLE AS value FROM e",
+    "SELECT 'retrieval_vector_searches_total', '', count(*)::DOUBLE FROM q",
+    "SELECT 'retrieval_graph_searches_total', '', count(DISTINCT user_id)::DOUBLE FROM seeds",
+    "SELECT 'dig_filtered_total', '', count(*)::DOUBLE FROM gain WHERE gain <= -0.5",
+    "SELECT 'consolidation_episodes_consolidated_total', '', count(*)::DOUBLE FROM e WHERE status = 'consolidated'",
+    "SELECT 'http_requests_total', 'event_type=\"' || event_type || '\"', count(*)::DOUBLE FROM events GROUP BY event_type",
+    _buckets("dig_score_distribution", "gain", "gain"),
+    _buckets("knapsack_items_selected", "n", "(SELECT user_id, count(*) AS n FROM chosen GROUP BY user_id)"),
+    _buckets("http_request_duration_seconds", "value / 1000", "events", "'event_type=\"' || event_type || '\"'"),
+])
+
+
+@query("op95_instruments", f"{_HEAD}, {_REF}, {_GAIN}, {T}, {_LAST}, {_PACK} SELECT metric, labels, round(value, 4) AS value FROM ({_METRICS})")
+def op95i(spark, d):
+    """Instruments over the tables: those of ingestion, retrieval, gain, packing, consolidation and requests."""
+    e, ev = eps(spark, d, "id", "status"), table(spark, d, "events").withColumn("s", F.col("value") / 1000)
+    fused = shared_checkpoint(_fused(spark, d, "reference"))
+    q = fused.where("source = 'vector'").select("query").distinct()
+    gain = retrieval.rerank(fused, F.lit(NOW_S), least=-1e9)
+    said = F.concat("text", F.coalesce(F.concat(F.lit(" What about "), "name", F.lit("?")), F.lit("")))
+    asked = questions(spark, d).join(nodes(spark, d).groupBy("user_id").agg(F.min("name").alias("name")), "user_id", "left").where(F.size(tx.entity_names(said)) > 0)
+    items = _packed(spark, d)[1].groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    lines = [
+        metrics.counter(e, "ingest_episodes_total"), metrics.counter(q, "retrieval_vector_searches_total"), metrics.counter(asked, "retrieval_graph_searches_total"),
+        metrics.counter(gain.where("gain <= -0.5"), "dig_filtered_total"), metrics.counter(e.where("status = 'consolidated'"), "consolidation_episodes_consolidated_total"),
+        metrics.counter(ev, "http_requests_total", ["event_type"]), metrics.histogram(gain, "dig_score_distribution", "gain"),
+        metrics.histogram(items, "knapsack_items_selected", "n"), metrics.histogram(ev, "http_request_duration_seconds", "s", ["event_type"]),
+    ]
+    out = lines[0]
+    for x in lines[1:]:
+        out = out.unionByName(x)
+    return out.select("metric", "labels", F.round("value", 4).alias("value"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from recollect.functions.text import AFTER_END, ASKING, BASE, LONG_BYTES, LONG_WORD
+
 
 class Provider(Protocol):
     def embed(self, texts: pd.Series) -> pd.Series: ...
@@ -16,10 +18,12 @@ class Provider(Protocol):
     def extract_facts(self, texts: pd.Series) -> pd.Series: ...
     def gain(self, queries: pd.Series, documents: pd.Series) -> pd.Series: ...
     def generate(self, prompts: pd.Series) -> pd.Series: ...
+    def token_probabilities(self, texts: pd.Series) -> pd.Series: ...
+    def count_tokens(self, texts: pd.Series) -> pd.Series: ...
 
 
 class Offline:
-    """Needs no network: hashed word vectors, the first sentences as gist, ``X verb Y`` facts, word overlap as gain."""
+    """``embed`` takes a batch of texts and so is the batched form as well. Needs no network: hashed word vectors, the first sentences as gist, ``X verb Y`` facts, word overlap as gain."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -60,6 +64,22 @@ class Offline:
     def generate(self, prompts: pd.Series) -> pd.Series:
         return self.synthesize(prompts)
 
+    def token_probabilities(self, texts: pd.Series) -> pd.Series:
+        """Per word a struct of token, log_prob and offset (its number); by the rules of ``functions.text.surprisal``."""
+
+        def one(t: str | None) -> list[dict] | None:
+            if t is None:
+                return None
+            words = t.split()
+            end = [False, *(w[-1] in ".!?" for w in words)]
+            s = [(AFTER_END if e else BASE) + LONG_WORD * (len(w.encode()) > LONG_BYTES) + ASKING * ("?" in w or "!" in w) for w, e in zip(words, end)]
+            return [{"token": w, "log_prob": -x, "offset": i} for i, (w, x) in enumerate(zip(words, s))]
+
+        return texts.map(one)
+
+    def count_tokens(self, texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else 0 if not t else max(1, len(t.encode()) // 4))
+
 
 def embed(provider: Provider, text: Column) -> Column:
     @F.pandas_udf("array<float>")
@@ -91,3 +111,27 @@ def gain(provider: Provider, query: Column, document: Column) -> Column:
         return provider.gain(q, d)
 
     return run(query, document)
+
+
+def generate(provider: Provider, prompt: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(t: pd.Series) -> pd.Series:
+        return provider.generate(t)
+
+    return run(prompt)
+
+
+def token_probabilities(provider: Provider, text: Column) -> Column:
+    @F.pandas_udf("array<struct<token: string, log_prob: double, offset: int>>")
+    def run(t: pd.Series) -> pd.Series:
+        return provider.token_probabilities(t)
+
+    return run(text)
+
+
+def count_tokens(provider: Provider, text: Column) -> Column:
+    @F.pandas_udf("int")
+    def run(t: pd.Series) -> pd.Series:
+        return provider.count_tokens(t).astype("Int32")
+
+    return run(text)
