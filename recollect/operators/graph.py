@@ -34,7 +34,7 @@ def resolve_conflicts(facts: DataFrame, keys: list[str], value: str, at: str, se
     ``decay``; a repeated value opens a parallel fact. Adds ``closed_us`` (null: open) and ``new_confidence``.
 
     Order is (at, seq). A ``decay`` outside (0, 1) means DECAY. Hot keys are cut into chunks; a chunk takes over from
-    the next ones the time and value of their first fact and of their first fact with another value than that.
+    the next ones the first fact and the first of another value than that, found in one pass over the chunks.
     """
     d = decay if 0 < decay < 1 else DECAY
     src = facts.withColumn("_at", micros(at)).where(F.col("_at").isNotNull())
@@ -49,15 +49,20 @@ def resolve_conflicts(facts: DataFrame, keys: list[str], value: str, at: str, se
     x = x.withColumn("closed_us", F.first("_next", ignorenulls=True).over(ahead))
     if several:
         order = F.struct("_at", seq)
-        first = x.groupBy(*by).agg(F.min_by(F.struct(F.col("_at").alias("at"), F.col(value).alias("v")), order).alias("_first"), F.min("closed_us").alias("_change"))
-        second = x.join(first, by).where(~F.col(value).eqNullSafe(F.col("_first.v"))).groupBy(*by).agg(F.min("_at").alias("_second"))
-        chain = first.join(second, by, "left").select(*by, F.struct("_chunk", F.col("_first").alias("first"), F.col("_second").alias("second")).alias("_c"))
-        later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
-        chain = chain.withColumn("_later", F.collect_list("_c").over(later)).drop("_c")
+        both = F.struct(F.col("_at").alias("at"), F.col(value).alias("v"))
+        ends = x.groupBy(*by).agg(F.min_by(both, order).alias("_first"), F.max_by(both, order)["v"].alias("_last"))
+        # the first change of value in a chunk, and where it begins with another value than the one before ended with
+        second = x.where(F.col("_next").isNotNull()).groupBy(*by).agg(F.min("_next").alias("_second"))
+        wk = Window.partitionBy(*keys).orderBy("_chunk")
+        chain = ends.join(second, by, "left")
+        border = F.when(F.lag("_chunk").over(wk).isNotNull() & ~F.lag("_last").over(wk).eqNullSafe(F.col("_first.v")), F.col("_first.at"))
+        chain = chain.withColumn("_change", F.coalesce(border, "_second"))
+        # of the next chunk: its first moment and value, and the first moment after that of another value
+        chain = chain.withColumn("_then", F.coalesce(F.lead("_second").over(wk), F.first("_change", ignorenulls=True).over(wk.rowsBetween(2, Window.unboundedFollowing))))
+        chain = chain.select(*by, F.lead("_first").over(wk).alias("_after"), "_then")
         x = x.join(chain, by, "left")
-        # per later chunk: the first moment of another value than this fact's
-        moment = F.transform("_later", lambda c: F.when(c["first"]["v"].eqNullSafe(F.col(value)), c["second"]).otherwise(c["first"]["at"]))
-        x = x.withColumn("closed_us", F.coalesce("closed_us", F.array_min(F.filter(moment, lambda m: m.isNotNull())))).drop("_later")
+        other = F.when(F.col("_after.v").eqNullSafe(F.col(value)), F.col("_then")).otherwise(F.col("_after.at"))
+        x = x.withColumn("closed_us", F.coalesce("closed_us", other)).drop("_after", "_then")
     closed = F.col("closed_us").isNotNull()
     return x.withColumn("new_confidence", F.when(closed, F.col("confidence") * d).otherwise(F.col("confidence"))).withColumn("new_decay_rate", F.when(closed, d).otherwise(1.0)).drop("_at", "_chunk", "_next")
 

@@ -20,12 +20,10 @@ def halo_chunks(df: DataFrame, keys: list[str], at: str, order: list[str], rows:
     back = Window.partitionBy(*keys, "_chunk").orderBy(*[F.desc(o) for o in order])
     tail = parts.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= rows)
     sizes = tail.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_have"))
-    last = Window.partitionBy(*keys)
-    sizes = sizes.withColumn("_chunks", F.collect_list(F.struct("_chunk", "_have")).over(last))
-    # chunk c needs this chunk's tail if the chunks between them have fewer than ``rows`` rows
-    needs = F.expr(
-        f"filter(_chunks, c -> c._chunk > _chunk and aggregate(filter(_chunks, b -> b._chunk > _chunk and b._chunk < c._chunk), 0L, (s, b) -> s + b._have) < {rows})"
-    )
+    # a chunk has at least one row, so its tail serves no more than ``rows`` later ones: those before which that many have not come yet
+    later = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, rows)
+    sizes = sizes.withColumn("_next", F.collect_list(F.struct("_chunk", "_have")).over(later))
+    needs = F.expr(f"filter(_next, (c, i) -> aggregate(slice(_next, 1, i), 0L, (s, b) -> s + b._have) < {rows})")
     sizes = sizes.withColumn("_to", F.transform(needs, lambda c: c["_chunk"])).select(*keys, "_chunk", "_to")
     copies = tail.drop("_back").join(sizes, [*keys, "_chunk"]).withColumn("_chunk", F.explode("_to")).drop("_to").withColumn("_halo", F.lit(True))
     return parts.unionByName(copies.select(*parts.columns))

@@ -6,34 +6,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.functions.text import count_tokens, fields, surprisal
-from recollect.operators.chunks import TARGET_ROWS
 from recollect.operators.halo import halo_chunks
 from recollect.sources.tables import micros
 
 WINDOW, GAMMA, MIN_TOKENS, MAX_TOKENS = 50, 2.5, 50, 500
+TARGET_TURNS = 20_000
 
 
-def words(turns: DataFrame) -> DataFrame:
-    """(user_id, at, turn_id, pos, word, s) of turns (turn_id, user_id, content, ts); rows without user, time or words give
-    none."""
+def spoken(turns: DataFrame) -> DataFrame:
+    """(user_id, at, turn_id, w) of turns (turn_id, user_id, content, ts), ``w`` the words with their surprisal; rows without user, time
+    or words are left out."""
     src = turns.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull() & F.col("content").isNotNull())
-    src = src.select("user_id", micros("ts").alias("at"), "turn_id", fields(F.col("content")).alias("w"))
-    scored = F.transform("w", lambda x, i: F.struct(x.alias("word"), surprisal(x, F.when(i > 0, F.get("w", i - 1))).alias("s")))
-    return src.select("user_id", "at", "turn_id", F.posexplode(scored).alias("pos", "x")).select("user_id", "at", "turn_id", "pos", "x.word", "x.s")
+    src = src.select("user_id", micros("ts").alias("at"), "turn_id", fields(F.col("content")).alias("w")).where(F.size("w") > 0)
+    return src.withColumn("w", F.transform("w", lambda x, i: F.struct(x.alias("word"), surprisal(x, F.when(i > 0, F.get("w", i - 1))).alias("s"))))
+
+
+def words(turns: DataFrame) -> DataFrame:
+    """(user_id, at, turn_id, pos, word, s): a row for each word."""
+    return spoken(turns).select("user_id", "at", "turn_id", F.posexplode("w").alias("pos", "x")).select("user_id", "at", "turn_id", "pos", "x.word", "x.s")
 
 
-def rolling(tokens: DataFrame, window: int = WINDOW, gamma: float = GAMMA, target: int = TARGET_ROWS) -> DataFrame:
-    """Adds ``n``, ``mean``, ``sigma`` (population) over the last ``window`` words of the user, the current one included,
+def rolling(turns: DataFrame, window: int = WINDOW, gamma: float = GAMMA, target: int = TARGET_TURNS) -> DataFrame:
+    """The words of turns with ``n``, ``mean``, ``sigma`` (population) over the last ``window`` words of the user, the current one included,
     across turns in order of (at, turn_id), and ``above``: s > mean + gamma sigma. The test is exact: in halves, all
-    surprisals are whole numbers."""
-    parts = halo_chunks(tokens, ["user_id"], "at", ["at", "turn_id", "pos"], window - 1, target)
+    surprisals are whole numbers.
+
+    Turns are shuffled whole, one row each, and become words where they have arrived. A hot user's are cut into chunks of ``target``
+    turns; a turn has a word at least, so the last ``window`` - 1 turns before a chunk are all that it looks back to.
+    """
+    parts = halo_chunks(spoken(turns), ["user_id"], "at", ["at", "turn_id"], window - 1, target).repartition("user_id", "_chunk")
+    x = parts.select("user_id", "_chunk", "_halo", "at", "turn_id", F.posexplode("w").alias("pos", "x")).select("user_id", "_chunk", "_halo", "at", "turn_id", "pos", "x.word", "x.s")
     w = Window.partitionBy("user_id", "_chunk").orderBy("at", "turn_id", "pos").rowsBetween(-(window - 1), 0)
     h = (F.col("s") * 2).cast("long")
-    x = parts.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("_a", F.sum(h).over(w)).withColumn("_b", F.sum(h * h).over(w))
+    x = x.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("_a", F.sum(h).over(w)).withColumn("_b", F.sum(h * h).over(w))
     x = x.where(~F.col("_halo"))
     lead, spread = F.col("n") * h - F.col("_a"), F.col("n") * F.col("_b") - F.col("_a") * F.col("_a")
     x = x.withColumn("mean", F.col("_a") / F.col("n") / 2).withColumn("sigma", F.sqrt(spread) / F.col("n") / 2)
-    return x.withColumn("above", (lead > 0) & (lead * lead > spread * (gamma * gamma))).drop("_a", "_b", "_chunk", "_halo")
+    return x.withColumn("above", (lead > 0) & (lead * lead > spread * (gamma * gamma))).drop("_a", "_b", "_halo")
 
 
 def segments(tokens: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
@@ -44,7 +53,8 @@ def segments(tokens: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS)
     by a fold, as each decision depends on the one before. A turn is one row of the fold, so texts are whole.
     """
     able = F.col("above") & F.col("word").rlike("[.!?]$")
-    turn = tokens.groupBy("user_id", "at", "turn_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "s", able.alias("able")))).alias("_w"))
+    # grouped by the chunk as well, by which the words are partitioned already
+    turn = tokens.groupBy("user_id", "_chunk", "at", "turn_id").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "s", able.alias("able")))).alias("_w"))
     # only words that may be a boundary matter to the fold; the forced ones lie every ``most`` words after the last
     last = "element_at(b, -1)"
     forced = f"cast((x.pos - {last}) div {most} as int)"

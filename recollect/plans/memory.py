@@ -383,13 +383,13 @@ def op43(spark, d):
 
 @query("op45_rolling", f"WITH {T}, {W}, {ROLL} SELECT turn_id, pos, n, round(a / n / 2, 6) AS mean, round(sqrt(spread) / n / 2, 6) AS sigma FROM above")
 def op45(spark, d):
-    r = segmentation.rolling(segmentation.words(turns(spark, d)))
+    r = segmentation.rolling(turns(spark, d))
     return r.select("turn_id", F.col("pos").cast("long").alias("pos"), "n", F.round("mean", 6).alias("mean"), F.round("sigma", 6).alias("sigma"))
 
 
 @query("op46_above_threshold", f"WITH {T}, {W}, {ROLL} SELECT turn_id, pos, word, s FROM above WHERE above")
 def op46(spark, d):
-    return segmentation.rolling(segmentation.words(turns(spark, d))).where("above").select("turn_id", F.col("pos").cast("long").alias("pos"), "word", "s")
+    return segmentation.rolling(turns(spark, d)).where("above").select("turn_id", F.col("pos").cast("long").alias("pos"), "word", "s")
 
 
 # The first boundary of a turn and those after it, found one after another.
@@ -404,7 +404,7 @@ FROM ranged r JOIN above a ON a.turn_id = r.turn_id AND a.pos >= r.p AND a.pos <
 
 
 def _segs(spark, d):
-    return segmentation.segments(segmentation.rolling(segmentation.words(turns(spark, d))))
+    return segmentation.segments(segmentation.rolling(turns(spark, d)))
 
 
 @query("op47_segments", _SEG)

@@ -23,7 +23,7 @@ def test_rolling_surprisal(spark, tmp_path):
         spark.createDataFrame(rows[k * 8 : k * 8 + 8], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted((x.user_id, x.turn_id, x.pos, x.s, x.above) for x in run(activity.rolling_surprisal(stream), "rolling"))
-    batch = segmentation.rolling(segmentation.words(spark.createDataFrame(rows, schema)))
+    batch = segmentation.rolling(spark.createDataFrame(rows, schema))
     assert got == sorted((x.user_id, x.turn_id, x.pos, x.s, x.above) for x in batch.collect())
 
 
