@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recollect.operators.chunks import TARGET_ROWS, time_chunks
+from recollect.session import shared_checkpoint
 from recollect.sources.tables import from_micros, micros
 
 
@@ -157,7 +158,7 @@ def gap_tree(df: DataFrame, keys: list[str], at: str, id_col: str | None = None,
 
     if not several:
         return build(parts, None, True).select(*out_cols)
-    level1 = build(parts, "_chunk", False)
+    level1 = shared_checkpoint(build(parts, "_chunk", False))
     joined = build(level1.where("_rest").select(*keys, "_s", "_e", "_n", "_own", "_done"), None, True)
     return level1.where("not _rest").select(*out_cols).unionByName(joined.select(*out_cols))
 

@@ -13,34 +13,37 @@ TRIGGER = "user_id string, reason string, pending bigint, at timestamp"
 
 
 def triggers(events: DataFrame, idle_minutes: int = 15, most: int = 10, hold_minutes: int = 5) -> DataFrame:
-    """Consolidation jobs of a stream (user_id, ts, kind), ``kind`` 'ingest' or 'query'.
+    """Consolidation jobs of a stream (user_id, ts, kind), ``kind`` 'ingest', 'query' or 'consolidated'.
 
-    Keyed state holds a user's last activity, the number of pending episodes and when the last job was sent. A job is due when
-    event time passes the last activity by more than ``idle_minutes`` (reason inactivity_timeout), else when ``most``
-    episodes are pending; no second one for ``hold_minutes``. A job resets the pending count.
+    Keyed state holds a user's last activity (ingest or query), the number of pending episodes and when the last job was sent. A job is due
+    when event time passes the last activity by more than ``idle_minutes`` (reason inactivity_timeout), with or without pending
+    episodes, else when ``most`` episodes are pending. A job holds its user for ``hold_minutes``; who is still due then gets
+    another. Episodes are pending until the end of a run is reported by 'consolidated', not until a job is sent.
     """
+    hold, idle = hold_minutes * 60_000, idle_minutes * 60_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, pending, sent = state.get if state.exists else (0, 0, -(1 << 60))
         out = []
+        now = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs()
-            if now - last > idle_minutes * 60_000 and pending:
+            if now - last > idle and now - sent >= hold:
                 out.append((key[0], "inactivity_timeout", pending, pd.Timestamp(now, unit="ms")))
-                sent, pending = now, 0
+                sent = now
         else:
             for f in frames:
                 for ts, kind in f.sort_values("ts")[["ts", "kind"]].itertuples(index=False):
                     ms = int(ts.timestamp() * 1000)
+                    if kind == "consolidated":
+                        pending = 0
+                        continue
                     last = max(last, ms)
                     pending += kind == "ingest"
-                    if pending >= most and ms - sent >= hold_minutes * 60_000:
+                    if pending >= most and ms - sent >= hold:
                         out.append((key[0], "max_unconsolidated", pending, ts))
-                        sent, pending = ms, 0
+                        sent = ms
         state.update((last, pending, sent))
-        until = last + idle_minutes * 60_000 + 1
-        if pending and until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
+        state.setTimeoutTimestamp(max(last + idle + 1, sent + hold, now + 1))
         if out:
             yield pd.DataFrame(out, columns=["user_id", "reason", "pending", "at"])
 

@@ -29,14 +29,14 @@ def test_rolling_surprisal(spark, tmp_path):
 
 def test_triggers(spark, tmp_path):
     t = datetime(2024, 1, 1)
-    rows = [("a", t + timedelta(seconds=i), "ingest") for i in range(10)] + [("b", t, "ingest"), ("c", t, "query")]
+    rows = [("a", t + timedelta(seconds=i), "ingest") for i in range(10)] + [("b", t, "ingest"), ("b", t + timedelta(seconds=9), "consolidated"), ("c", t, "query")]
     late = [("z", t + timedelta(hours=2), "query")]
     schema = "user_id string, ts timestamp, kind string"
     for k, part in enumerate((rows, late, [("z", t + timedelta(hours=3), "query")])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = {(x.user_id, x.reason, x.pending) for x in run(activity.triggers(stream), "triggers")}
-    assert got == {("a", "max_unconsolidated", 10), ("b", "inactivity_timeout", 1)}
+    assert got == {("a", "max_unconsolidated", 10), ("a", "inactivity_timeout", 10), ("b", "inactivity_timeout", 0), ("c", "inactivity_timeout", 0)}
 
 
 def test_session_windows(spark, tmp_path):
@@ -48,3 +48,24 @@ def test_session_windows(spark, tmp_path):
     assert q.awaitTermination(100)
     batch = activity.session_windows(spark.createDataFrame(rows, "user_id string, ts timestamp")).collect()
     assert sorted((x.user_id, x.n_events) for x in batch) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_append_episodes(spark, tmp_path):
+    """A stream of turns, cut into segments, becomes stored episodes, each batch once."""
+    t = datetime(2024, 1, 1)
+    schema = "user_id string, turn_id bigint, content string, ts timestamp"
+    spark.createDataFrame([("a", 1, "it is wonderful. what? " * 30, t), ("b", 2, "end.", t), ("b", 3, None, t)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def store(batch, number):
+        segs = segmentation.segments(segmentation.rolling(batch))
+        segmentation.episodes(segs).write.mode("append").parquet(str(tmp_path / "out"))
+
+    for _ in range(2):  # a second start finds nothing new
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = stream.writeStream.foreachBatch(store).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(100)
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert {x.user_id for x in got.collect()} == {"a", "b"} and got.count() == got.select("id").distinct().count() >= 2
+    again = spark.readStream.schema(got.schema).parquet(str(tmp_path / "out"))
+    q = activity.append_episodes(again, str(tmp_path / "copy"), str(tmp_path / "state2")).start()
+    assert q.awaitTermination(100) and spark.read.parquet(str(tmp_path / "copy")).count() == got.count()
