@@ -120,6 +120,20 @@ def bitemporal_ledger(df: DataFrame, keys: list[str], value: str, valid_from: st
     return swept.select(*names, "_f", "_states", "_stack").mapInArrow(_sweep(names, to_arrow_schema(schema)), schema)
 
 
+def amended(ledger: DataFrame, statements: DataFrame, updates: DataFrame, keys: list[str], value: str, valid_from: str, valid_to: Column | None, recorded: str, target: int = TARGET_ROWS) -> DataFrame:
+    """A stored ``ledger`` of ``statements`` after ``updates`` (statements that arrived since, early or late): the same as the ledger of
+    both, but only the keys that occur in the updates are swept again; the rows of all others are taken over as they are.
+
+    Rows that an update supersedes or splits keep their place in the ledger with an end of their recorded period, as in
+    ``bitemporal_ledger``; without updates nothing changes.
+    """
+    touched = updates.select(*keys).dropna().distinct()
+    cols = list(dict.fromkeys(updates.columns))
+    again = statements.select(*cols).unionByName(updates.select(*cols)).join(touched, keys, "left_semi")
+    kept = ledger.join(touched, keys, "left_anti").select(*ledger.columns)
+    return kept.unionByName(bitemporal_ledger(again, keys, value, valid_from, valid_to, recorded, target).select(*ledger.columns))
+
+
 def _islands(rows: DataFrame, by: list[str], extra: list[Column]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("valid_from_us")
     touches = F.lag("value").over(w).eqNullSafe(F.col("value")) & (F.lag("valid_to_us").over(w) == F.col("valid_from_us"))

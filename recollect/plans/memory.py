@@ -539,7 +539,7 @@ def _ranked(spark, d):
 
 
 # Overlap of words, as the offline provider scores it, with the heuristic or nothing where that fails.
-_DIG = """qs AS (SELECT user_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')) AS qw FROM q),
+_DIG = r"""qs AS (SELECT user_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')) AS qw FROM q),
 dig AS (SELECT g.user_id, key, gain AS heuristic, CASE WHEN strlen(content) % 2 = 0 THEN
   len(list_intersect(qw, list_distinct(list_filter(string_split_regex(lower(content), '[^\p{L}\p{M}\p{N}_]+'), lambda x: x <> '')))) / greatest(len(qw), 1) END AS score FROM gain g JOIN qs USING (user_id))"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.operators.history import bitemporal_ledger, versions
+from recollect.operators.history import amended, bitemporal_ledger, versions
 from recollect.operators.intervals import covered
 from recollect.operators.sessions import gap_tree, sessions
 from recollect.sources.tables import from_micros, micros, table, type_key, user_key
@@ -36,7 +36,19 @@ def attribute_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_ledger(spark: SparkSession, d: str) -> DataFrame:
-    led = attribute_ledger(spark, d)
+    return _ledger_rows(attribute_ledger(spark, d))
+
+
+def p2_amended(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger as first built from what was recorded before May 2015, then amended by the later statements."""
+    rows, keys = _statements(spark, d, True), ["from_entity_id", "relation_type"]
+    late = F.coalesce(F.col("transaction_time") >= F.expr("timestamp_ntz'2015-05-01 00:00:00'"), F.lit(False))
+    old, new = rows.where(~late), rows.where(late)
+    stored = bitemporal_ledger(old, keys, "to_entity_id", "valid_from", micros("valid_to"), "transaction_time")
+    return _ledger_rows(amended(stored, old, new, keys, "to_entity_id", "valid_from", micros("valid_to"), "transaction_time"))
+
+
+def _ledger_rows(led: DataFrame) -> DataFrame:
     return led.select(
         "from_entity_id", "relation_type", F.col("value").alias("to_entity_id"), _shown("valid_from_us").alias("valid_from_at"),
         F.coalesce(_shown("valid_to_us"), F.lit("open")).alias("valid_to_at"), _shown("recorded_from_us").alias("recorded_from_at"),
@@ -70,7 +82,7 @@ def p5_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _session_rows(sessions(_activity(spark, d), SESSION_GAP_US))
 
 
-QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p3_found": p3_found, "p5_found": p5_found, "p5_sessions": p5_sessions}
+QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger, "p2_amended": p2_amended, "p3_found": p3_found, "p5_found": p5_found, "p5_sessions": p5_sessions}
 
 _KEY = "lower(regexp_replace({}, '[\\s_\\-]+', '', 'g'))"
 _ROWS = f"""
@@ -123,3 +135,4 @@ SELECT from_entity_id, kind, strftime(f, '%Y-%m-%d %H:%M:%S') AS start_at,
     "p5_found": _SESSIONS.format(""),
     "p5_sessions": _SESSIONS.format(", epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS duration_s").replace("epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6", "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6"),
 }
+ORACLE["p2_amended"] = ORACLE["p2_ledger"]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators.history import bitemporal_ledger, versions
+from recollect.operators.history import amended, bitemporal_ledger, versions
 from recollect.operators.intervals import Lists, covered, merge, merge_tree
 from recollect.operators.sessions import gap_tree, sessions
 from recollect.sources.tables import micros
@@ -151,4 +151,8 @@ def test_ledger(spark, target, seed):
             want.append([k, v, f, t])
     found = [[x["k"], x["value"], sec(x["valid_from_us"]), sec(x["valid_to_us"])] for x in versions(led).collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
+    once = lambda x: {tuple(y) for y in x.drop("_chunk").collect()}
+    stored = bitemporal_ledger(df.where(F.col("v") != "x"), ["k"], "v", "f", micros("t"), "r", target)
+    more = amended(stored, df.where(F.col("v") != "x"), df.where(F.col("v") == "x"), ["k"], "v", "f", micros("t"), "r", target)
+    assert once(more) == once(led) and once(amended(led, df, df.where("false"), ["k"], "v", "f", micros("t"), "r")) == once(led)
     assert versions(bitemporal_ledger(df.where("false"), ["k"], "v", "f", micros("t"), "r")).count() == 0
