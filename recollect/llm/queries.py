@@ -83,7 +83,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Size and the three most typical episodes of each cluster."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "id"))), 1, 3)
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("similarity", 9)).alias("s"), "id"))), 1, 3)
     found = _clusters(spark, d).groupBy("user_id", "cluster_id").agg(F.max("size").alias("n_episodes"), best.alias("_b"))
     return found.select("user_id", "cluster_id", "n_episodes", F.concat_ws(",", F.col("_b.id")).alias("typical"))
 
@@ -146,6 +146,15 @@ WITH {_USABLE},
 s AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.user_id = b.user_id WHERE a.id = b.id OR list_cosine_similarity(a.v, b.v) >= 0.85),
 c AS (SELECT a AS episode_id, min(b) AS cluster_id FROM s GROUP BY a)
 SELECT * FROM c WHERE cluster_id IN (SELECT cluster_id FROM c GROUP BY cluster_id HAVING count(*) >= 3)""",
+    "p7_clusters": f"""
+WITH {_USABLE},
+s AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.user_id = b.user_id WHERE a.id = b.id OR list_cosine_similarity(a.v, b.v) >= 0.85),
+c AS (SELECT a AS id, min(b) AS cluster_id FROM s GROUP BY a),
+m AS (SELECT u.user_id, id, cluster_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w, count(*) OVER (PARTITION BY cluster_id) AS n FROM c JOIN u USING (id)),
+x AS (SELECT cluster_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM m WHERE n >= 3),
+k AS (SELECT cluster_id, list(t ORDER BY p) AS centre FROM (SELECT cluster_id, p, sum(x) AS t FROM x GROUP BY cluster_id, p) GROUP BY cluster_id),
+r AS (SELECT m.*, row_number() OVER (PARTITION BY cluster_id ORDER BY round(list_cosine_similarity(w, centre), 9) DESC, id) AS rank FROM m JOIN k USING (cluster_id))
+SELECT user_id, cluster_id, max(n) AS n_episodes, string_agg(id, ',' ORDER BY rank) FILTER (rank <= 3) AS typical FROM r GROUP BY user_id, cluster_id""",
     "p4_neighbours": f"""
 WITH {_USABLE},
 s AS (SELECT a.user_id, a.id, b.id AS neighbour, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.user_id = b.user_id AND a.id <> b.id),
