@@ -7,6 +7,7 @@ it a second pass finds the names that stand nowhere special. Surrogates are bije
 format never share a surrogate (the collision check is part of the permutation), the same value always gets the same one.
 """
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -281,8 +282,9 @@ def find_pii(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int
     taken: list[tuple[int, int, str]] = []
 
     def take(start: int, end: int, kind: str) -> None:
-        if start < end and all(end <= a or start >= b for a, b, _ in taken):
-            taken.append((start, end, kind))
+        i = bisect.bisect_left(taken, (start,))
+        if start < end and (not i or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
+            taken.insert(i, (start, end, kind))
 
     if seen & _GROUPS["e"]:
         for m in EMAIL.finditer(text):
@@ -332,7 +334,7 @@ def find_pii(text: str | None, lexicon: Lexicon | None = None) -> list[tuple[int
     if _INITIAL.search(text):
         for m in INITIALS.finditer(text):
             take(*_person(text, *m.span()), "name")
-    return sorted(taken)
+    return taken
 
 
 _LONG_CODE = re.compile(r"[A-Z]{2}\d\d ?[A-Z0-9]{4}")
