@@ -548,6 +548,12 @@ def name_words(texts: list[str | None]) -> dict[str, list[int]]:
     return {w: [given[w], last[w], seen[w]] for w in given.keys() | last.keys()} | {w: [0, 0, n] for w, n in seen.items() if w not in given and w not in last}
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as there are cores, where a small table is read in fewer; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def learn(df: DataFrame, text_col: str, least: int = 3, share: float = 0.25, rare: float = 1e-6) -> dict[str, int]:
     """The lexicon of a corpus: words with their roles in names, from the names that stand where names do.
 
@@ -561,7 +567,7 @@ def learn(df: DataFrame, text_col: str, least: int = 3, share: float = 0.25, rar
             counts = list(zip(*found.values())) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=["word", "given", "last", "seen"])
 
-    texts = df.select(F.col(text_col).alias("text")).where("text <> ''")
+    texts = _spread(df.select(F.col(text_col).alias("text")).where("text <> ''"))
     words = texts.mapInArrow(run, "word string, given bigint, last bigint, seen bigint").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("given", "last", "seen")])
     named = shared_checkpoint(words.where(F.greatest("given", "last") >= least))
     least = max(least, rare * (named.agg(F.sum(F.col("given") + F.col("last"))).first()[0] or 0))
@@ -587,7 +593,7 @@ def pii_items(df: DataFrame, id_col: str, text_col: str, key: str, learned: dict
             cols = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    src = df.select(df[id_col].cast("string").alias("rec_id"), df[text_col].alias("text")).where("text <> ''")
+    src = _spread(df.select(df[id_col].cast("string").alias("rec_id"), df[text_col].alias("text")).where("text <> ''"))
     return src.mapInArrow(run, "rec_id string, pii_type string, start_pos bigint, end_pos bigint, surrogate string").distinct()
 
 
